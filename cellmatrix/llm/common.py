@@ -3,12 +3,23 @@
 from __future__ import annotations
 
 import atexit
+import sys
 import tempfile
 import uuid
 
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+
+
+def ship(module: str) -> None:
+    """Send what ``module`` defines to workers by value, so that they need not have the package."""
+    cloudpickle.register_pickle_by_value(sys.modules[module])
+
+
+ship(__name__)
+
 #: What separates words: space, tab, line feed, vertical tab, form feed, carriage return.
 SPACES = " \t\n\x0b\f\r"
 WORD, GAP = r"[^ \t\n\x0B\f\r]", r"[ \t\n\x0B\f\r]+"
@@ -101,3 +112,8 @@ def join_small(big: DataFrame, small: DataFrame, key: str, rows: int, how: str =
     salt = F.pmod(F.xxhash64(*big.columns), F.lit(salts)).cast("int")
     copies = small.withColumn("_salt", F.explode(F.array(*[F.lit(i) for i in range(salts)])))
     return big.withColumn("_salt", salt).join(copies, [key, "_salt"], how).drop("_salt")
+
+
+def word_hashes(text: Column) -> Column:
+    """The 64-bit hashes of the lower-cased words, in order."""
+    return F.transform(words(lower_ascii(text)), lambda w: F.xxhash64(w))
