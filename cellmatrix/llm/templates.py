@@ -45,10 +45,9 @@ def support(rows: DataFrame, *key: str) -> DataFrame:
 def recurring(docs: DataFrame, min_docs: int = MIN_DOCS, min_tokens: int = MIN_TOKENS, min_const: float = MIN_CONST) -> tuple[DataFrame, DataFrame]:
     """(text_hash, pos, template) of lines in recurring templates, and (template, n_docs, first_doc)."""
     ws = Workspace(docs.sparkSession)
-    texts = docs.where(F.col("text").isNotNull()).groupBy(F.xxhash64("text").alias("text_hash")).agg(F.min("doc_id").alias("doc_id"))
     rows = line_rows(docs.select("doc_id", "text")).where(F.size("tokens") >= min_tokens)
     leaves = ws.keep(support(rows, "leaf").where(F.col("n_docs") >= min_docs).select("leaf"), "leaves")
-    own = ws.keep(join_small(rows, leaves, "leaf", leaves.count(), "inner").dropDuplicates(["text_hash", "pos"]), "lines")
+    own = ws.keep(join_small(rows, leaves, "leaf", leaves.count(), "inner").groupBy("text_hash", "pos", "leaf", "tokens").agg(F.min("doc_id").alias("doc_id")), "lines")
     tokens = own.select("leaf", "text_hash", F.posexplode("tokens").alias("at", "token"))
     const = tokens.groupBy("leaf", "at", "token", "text_hash").count().groupBy("leaf", "at", "token").count().where(F.col("count") >= min_docs)
     const = ws.keep(const.groupBy("leaf").agg(F.collect_set(F.xxhash64("at", "token")).alias("const")), "const")
@@ -60,8 +59,7 @@ def recurring(docs: DataFrame, min_docs: int = MIN_DOCS, min_tokens: int = MIN_T
     known = ws.keep(known.select("text_hash", "pos", "doc_id", line.alias("line"), F.xxhash64("leaf", line).alias("template")), "known")
     templates = ws.keep(support(known, "template").where(F.col("n_docs") >= min_docs), "templates")
     hits = join_small(known.select("text_hash", "pos", "template"), templates.select("template"), "template", templates.count(), "inner")
-    # A text's copies share its lines, and the first document of a template is that of the smallest doc_id of all texts.
-    return ws.keep(hits.join(texts, "text_hash").select("text_hash", "pos", "template"), "hits"), templates
+    return ws.keep(hits, "hits"), templates
 
 
 def clean_lines(docs: DataFrame, min_docs: int = MIN_DOCS, **how: float) -> DataFrame:
