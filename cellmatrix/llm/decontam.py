@@ -61,6 +61,7 @@ class Items:
     def __init__(self, rows: list[tuple[object, np.ndarray]]) -> None:
         self.ids = [r[0] for r in rows]
         self.words = [np.asarray(r[1], np.int64).view(np.uint64) for r in rows]
+        self.slack = np.array([int(RATE * len(x)) for x in self.words])
         got: list[list[np.ndarray]] = [[] for _ in range(REPS)]
         pairs, item, offset = [np.zeros(0, np.uint64)], [], []
         for n, x in enumerate(self.words):
@@ -84,39 +85,45 @@ class Items:
     def positions(self, x: np.ndarray) -> np.ndarray:
         """Where a window of SPAN words begins that has NEED or more pairs of the benchmark."""
         hit = self.bits[(blend(x[:-1], 1) ^ x[1:]) >> np.uint64(42)]
-        if hit.sum() < NEED:
-            return np.zeros(0, np.int64)
         total = np.r_[0, np.cumsum(hit)]
         at = np.flatnonzero(hit)
         return at[total[np.minimum(at + SPAN, len(hit))] - total[at] >= NEED]
 
-    def matches(self, x: np.ndarray) -> dict[int, tuple[int, int, int]]:
-        """item -> (edits, first word, words) of the best window of one document."""
-        out: dict[int, tuple[int, int, int]] = {}
+    def matches(self, x: np.ndarray, ends: np.ndarray) -> dict[tuple[int, int], tuple[int, int, int]]:
+        """(document, item) -> (edits, first word, words) of the best window; x holds the documents up to each of ``ends``."""
+        out: dict[tuple[int, int], tuple[int, int, int]] = {}
+        begins = np.r_[0, ends[:-1]]
         for size in self.short_sizes:
-            for s in range(len(x) - size + 1):
-                if (n := self.short.get(x[s : s + size].tobytes())) is not None:
-                    out.setdefault(n, (0, s, size))
+            first = {y.tobytes()[:8] for y in self.words if len(y) == size}
+            for s in np.flatnonzero(np.isin(x, np.frombuffer(b"".join(first), np.uint64))).tolist():
+                doc = int(np.searchsorted(ends, s, "right"))
+                if s + size <= ends[doc] and (n := self.short.get(x[s : s + size].tobytes())) is not None:
+                    out.setdefault((doc, n), (0, s - int(begins[doc]), size))
         if len(x) < 2 or not len(at := self.positions(x)):
             return out
-        proposed = set()
+        proposed = []
         for r, (k, order) in enumerate(self.sorted):
             q = keys(x, at, r)
             lo, hi = np.searchsorted(k, q, "left"), np.searchsorted(k, q, "right")
-            for p, a, b in zip(at[lo < hi].tolist(), lo[lo < hi].tolist(), hi[lo < hi].tolist(), strict=True):
-                for e in order[a:b].tolist():
-                    n = int(self.item[e])
-                    slack = int(RATE * len(self.words[n])) + 1
-                    proposed.add((n, (p - int(self.offset[e])) // slack))
-        for n, cell in sorted(proposed):
-            y = self.words[n]
+            many = hi - lo
+            p = np.repeat(at, many)
+            e = order[np.repeat(lo - np.cumsum(many) + many, many) + np.arange(len(p))]
+            n = self.item[e]
+            doc = np.searchsorted(ends, p, "right")
+            cell = (p - begins[doc] - self.offset[e]) // (self.slack[n] + 1)
+            proposed.append(np.unique(np.stack([doc, n, cell], 1), axis=0))
+        for doc, n, cell in np.unique(np.concatenate(proposed), axis=0).tolist():
+            y, most = self.words[n], int(self.slack[n])
             if len(y) < MIN_WORDS:
                 continue
-            most = int(RATE * len(y))
             lo = max(0, cell * (most + 1) - most)
-            best = within(y, x[lo : lo + len(y) + 3 * most + 2])
-            if best[0] <= most and (n not in out or best[0] < out[n][0]):
-                out[n] = (best[0], lo + best[1], best[2])
+            z = x[begins[doc] + lo : min(ends[doc], begins[doc] + lo + len(y) + 3 * most + 2)]
+            # Each word of the item that is not in the region costs an edit.
+            if np.isin(y, z).sum() < len(y) - most:
+                continue
+            best = within(y, z)
+            if best[0] <= most and ((doc, n) not in out or best[0] < out[doc, n][0]):
+                out[doc, n] = (best[0], lo + best[1], best[2])
         return out
 
 
@@ -152,9 +159,8 @@ def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
                 found = []
                 at = np.asarray(b.column(1).offsets, dtype=np.int64)
                 flat = np.asarray(b.column(1).values, dtype=np.int64).view(np.uint64)
-                for i in range(b.num_rows):
-                    for n, m in held.matches(flat[at[i] : at[i + 1]]).items():
-                        found.append((b.column(0)[i].as_py(), held.ids[n], *m))
+                for (i, n), m in held.matches(flat[at[0] : at[-1]], at[1:] - at[0]).items():
+                    found.append((b.column(0)[i].as_py(), held.ids[n], *m))
                 if found:
                     cols = list(zip(*found, strict=True))
                     yield pa.RecordBatch.from_arrays([pa.array(cols[0], b.column(0).type), pa.array(cols[1]), *[pa.array(c, pa.int32()) for c in cols[2:]]], names=["doc_id", "item_id", "edits", "first_word", "n_words"])

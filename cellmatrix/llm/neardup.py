@@ -34,12 +34,15 @@ ship(__name__)
 SHINGLE, PCT, BANDS, WIDTH, SEED = 3, 85, 14, 2, 23
 
 
-def shingle_set(text: Column, size: int = SHINGLE) -> Column:
-    """Sorted distinct 64-bit hashes of word shingles; a shorter text is one shingle."""
-    w = words(lower_ascii(text))
-    at = lambda x, i: F.xxhash64(x, *[F.get(w, i + k) for k in range(1, size)])
-    every = F.transform(w, at)
-    return F.array_sort(F.array_distinct(F.slice(every, 1, F.greatest(F.lit(1), F.size(w) - (size - 1)))))
+def shingle_sets(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
+    """doc_id and s, the sorted distinct 64-bit hashes of word shingles; a shorter text is one shingle.
+
+    Words and hashes are columns of their own, so neither is made again for each element.
+    """
+    w = docs.select("doc_id", F.transform(words(lower_ascii(F.col("text"))), lambda x: F.xxhash64(x)).alias("_w"))
+    at = lambda x, i: F.xxhash64(x, *[F.get("_w", i + k) for k in range(1, size)])
+    every = w.select("doc_id", F.size("_w").alias("_n"), F.transform("_w", at).alias("_g"))
+    return every.select("doc_id", F.array_sort(F.array_distinct(F.slice("_g", 1, F.greatest(F.lit(1), F.col("_n") - (size - 1))))).alias("s"))
 
 
 def sign(docs: DataFrame, bands: int, size: int = SHINGLE) -> DataFrame:
@@ -67,8 +70,7 @@ def sign(docs: DataFrame, bands: int, size: int = SHINGLE) -> DataFrame:
             keys = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * (2 * bands)), flat)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), b.column(2), b.column(3), keys], names=["doc_id", "n", "h1", "h2", "keys"])
 
-    # The set is a column of its own below the hashes, so it is made once.
-    sets = docs.select("doc_id", shingle_set(F.col("text"), size).alias("s"))
+    sets = shingle_sets(docs, size)
     return sets.select("doc_id", "s", F.xxhash64("s", F.lit(1)).alias("h1"), F.xxhash64(F.lit(2), "s").alias("h2")).mapInArrow(
         run, f"doc_id {kind}, n long, h1 long, h2 long, keys array<long>"
     )
@@ -108,7 +110,7 @@ def verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, ws: Workspace,
     pairs = ws.keep(pairs.distinct().join(na, "a").join(nb, "b").where(100 * F.least("na", "nb") >= pct * F.greatest("na", "nb")), f"{name}_c")
     need = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
     text = docs.join(need, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    sets = ws.keep(text.select("doc_id", shingle_set(F.col("text"), size).alias("s")), f"{name}_s")
+    sets = ws.keep(shingle_sets(text, size), f"{name}_s")
     sa, sb = sets.select(F.col("doc_id").alias("a"), F.col("s").alias("sa")), sets.select(F.col("doc_id").alias("b"), F.col("s").alias("sb"))
     both = F.size(F.array_intersect("sa", "sb"))
     return ws.keep(pairs.join(sa, "a").join(sb, "b").where(100 * both >= pct * (F.col("na") + F.col("nb") - both)).select("a", "b"), f"{name}_v")
