@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, lm, mixing, neardup, quality, rules, templates
+from . import decontam, langid, lm, mixing, neardup, quality, rules, templates, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(_table(spark, sf_dir, "pages"))
+
+
 def op2_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -51,4 +55,4 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_minhash_neardup, op3_source_mixing, op4_quality_classifier, op6_decontamination, op7_lm_scoring, op8_line_dedup, op9_language_id, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_warc, op2_minhash_neardup, op3_source_mixing, op4_quality_classifier, op6_decontamination, op7_lm_scoring, op8_line_dedup, op9_language_id, op10_quality_rules)}
