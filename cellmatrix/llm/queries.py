@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, lm, mixing, neardup, quality, rules, templates, warc
+from . import decontam, langid, lm, mixing, neardup, quality, rules, suffixes, templates, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,6 +37,10 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.dedup(_table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -55,4 +59,4 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc, op2_minhash_neardup, op3_source_mixing, op4_quality_classifier, op6_decontamination, op7_lm_scoring, op8_line_dedup, op9_language_id, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_warc, op2_minhash_neardup, op3_source_mixing, op4_quality_classifier, op5_suffix_dedup, op6_decontamination, op7_lm_scoring, op8_line_dedup, op9_language_id, op10_quality_rules)}
