@@ -225,6 +225,11 @@ def snippets(texts: DataFrame, shared: DataFrame) -> DataFrame:
     return texts.join(known, "d").select("d", "b", "hs").mapInArrow(cut, "d long, at int, h long, s binary")
 
 
+def named() -> list[Column]:
+    """Two hashes that stand for the snippet s; made where needed, as they don't compress."""
+    return [F.xxhash64("s").alias("k1"), F.xxhash64(F.lit(7), "s").alias("k2")]
+
+
 def repeated_windows(found: DataFrame, groups: int) -> DataFrame:
     """(k1, k2, least): for each snippet with a window that may go, the smallest document of each window."""
 
@@ -232,8 +237,8 @@ def repeated_windows(found: DataFrame, groups: int) -> DataFrame:
         got = classes(table.column("s").to_pylist(), table.column("d").to_numpy())
         return pa.table({"k1": table.column("k1"), "k2": table.column("k2"), "least": pa.array([x.tolist() for x in got], pa.list_(pa.int64()))})
 
-    one = found.groupBy("k1", "k2").agg(F.min("d").alias("d"), F.first("h").alias("h"), F.first("s").alias("s"))
-    return one.withColumn("g", F.pmod(F.xxhash64("h"), F.lit(groups))).select("g", "k1", "k2", "d", "s").groupBy("g").applyInArrow(sort, "k1 long, k2 long, least array<long>")
+    one = found.groupBy("h", "s").agg(F.min("d").alias("d")).withColumn("g", F.pmod(F.xxhash64("h"), F.lit(groups)))
+    return one.select("g", *named(), "d", "s").groupBy("g").applyInArrow(sort, "k1 long, k2 long, least array<long>")
 
 
 def cover(at: np.ndarray, n: int) -> np.ndarray:
@@ -257,10 +262,9 @@ def dedup(docs: DataFrame, text: str = "text", per_partition: int = DEALT) -> Da
     texts = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("d"), as_bytes(text).alias("b"))
     long = texts.where(F.length("b") >= WINDOW).select("d", "b")
     shared = ws.keep(shared_anchors(long, groups), "shared")
-    found = snippets(long, shared).withColumn("k1", F.xxhash64("s")).withColumn("k2", F.xxhash64(F.lit(7), "s"))
-    found = ws.keep(found, "snippets")
+    found = ws.keep(snippets(long, shared), "snippets")
     least = ws.keep(repeated_windows(found, groups), "least")
-    hits = found.select("d", "at", "k1", "k2").join(least, ["k1", "k2"])
+    hits = found.select("d", "at", *named()).join(least, ["k1", "k2"])
     gone = F.filter(F.transform("least", lambda m, i: F.when(m < F.col("d"), F.col("at") + i)), lambda p: p.isNotNull())
     gone = hits.select("d", gone.alias("p")).where("size(p) > 0").groupBy("d").agg(F.flatten(F.collect_set("p")).alias("p"))
 
@@ -269,6 +273,9 @@ def dedup(docs: DataFrame, text: str = "text", per_partition: int = DEALT) -> Da
             rows = []
             for x, p in zip(b.column(1), b.column(2), strict=True):
                 raw = x.as_py()
+                if not p.is_valid:
+                    rows.append((0, 0, raw, hashlib.sha256(raw).hexdigest(), len(raw)))
+                    continue
                 out = cover(np.asarray(p.values, np.int64), len(raw))
                 kept = np.frombuffer(raw, np.uint8)[~out].tobytes()
                 rows.append((int(out.sum()), int(out[0]) + int((out[1:] & ~out[:-1]).sum()), kept, hashlib.sha256(kept).hexdigest(), len(raw)))
@@ -278,9 +285,5 @@ def dedup(docs: DataFrame, text: str = "text", per_partition: int = DEALT) -> Da
                 names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256"],
             )
 
-    both = texts.join(gone, "d", "left")
-    cutting = both.where(F.col("p").isNotNull()).select("doc_id", "b", "p")
-    whole = texts.join(gone.select("d"), "d", "left_anti")
-    zero = F.lit(0).cast("long")
-    whole = whole.select("doc_id", F.length("b").cast("long").alias("n_bytes"), zero.alias("n_removed"), zero.alias("n_spans"), F.col("b").alias("kept"), F.sha2("b", 256).alias("kept_sha256"))
-    return cutting.mapInArrow(remove, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string").union(whole)
+    both = texts.join(gone, "d", "left").select("doc_id", "b", "p")
+    return both.mapInArrow(remove, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string")
