@@ -16,6 +16,8 @@ from cellmatrix.llm.common import WORD, Workspace
 
 #: SQL cannot express the learned and randomised stages.
 ORACLE_SQL = None
+#: Near copies are alike in four fifths of their five-word shingles; op2's contract has its own values.
+NEAR_PCT, NEAR_WORDS = 80, 5
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,7 +32,7 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    gone = neardup.near_duplicates(docs).where("not kept").select("doc_id").distinct()
+    gone = neardup.near_duplicates(docs, pct=NEAR_PCT, size=NEAR_WORDS).where("not kept").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 

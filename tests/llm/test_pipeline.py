@@ -1,5 +1,8 @@
 """Each stage of the pipeline is judged on what its predecessor kept."""
 
+import re
+import string
+
 import corpus_pipeline
 import pyarrow.parquet as pq
 
@@ -25,3 +28,31 @@ def test_stages(spark):
         before = seen[name]
     # The written stages give what run() gives.
     assert {r["doc_id"] for r in corpus_pipeline.run(spark, SF).collect()} == before
+
+
+def shingles(text, n=5):
+    w = re.findall(r"[^ \t-\r]+", (text or "").translate(str.maketrans(string.ascii_uppercase, string.ascii_lowercase)))
+    return frozenset(tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))) if w else frozenset()
+
+
+def test_near_dedup_five_words(spark):
+    """What the stage keeps is the smallest id of each component of pairs that reach 0.8 on five words."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    sets = {r["doc_id"]: shingles(r["text"]) for r in docs.collect()}
+    by_size, root = sorted((len(s), i) for i, s in sets.items() if s), {i: i for i in sets}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for k, (n, a) in enumerate(by_size):
+        for m, b in by_size[k + 1 :]:
+            if 10 * n < 8 * m:
+                break
+            both = len(sets[a] & sets[b])
+            if 10 * both >= 8 * (n + m - both):
+                lo, hi = sorted((find(a), find(b)))
+                root[hi] = lo
+    kept = {r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, "").collect()}
+    assert kept == {i for i in root if root[i] == i}
