@@ -8,6 +8,11 @@ and the line's template is what stays constant. A template of mostly constant to
 ``min_docs`` distinct texts hold is dropped from all documents but the first (smallest
 doc_id), which keeps it.
 
+A passage needs no such support: the shortest run of whole lines from each line on that
+has ``long`` words is a key, and the lines of a run that two distinct texts hold are
+dropped from all but the first text and its exact copies, which are for exact or near
+dedup to take out. At the end of a passage lines of under ``long`` words may stay.
+
 Defined results: a null or empty text has no lines; blank lines are never dropped; lines
 under ``min_tokens`` tokens are left alone; exact copies of a text support a template
 once; repeated rows of the first document all keep the line; a null doc_id sorts after
@@ -21,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import WORD, Workspace, join_small, words
 
-DEPTH, MIN_DOCS, MIN_TOKENS, MIN_CONST = 4, 10, 4, 0.7
+DEPTH, MIN_DOCS, MIN_TOKENS, MIN_CONST, LONG = 4, 10, 4, 0.7, 50
 
 
 def masked(token: Column) -> Column:
@@ -62,18 +67,42 @@ def recurring(docs: DataFrame, min_docs: int = MIN_DOCS, min_tokens: int = MIN_T
     return ws.keep(hits, "hits"), templates
 
 
-def clean_lines(docs: DataFrame, min_docs: int = MIN_DOCS, **how: float) -> DataFrame:
+def passages(docs: DataFrame, long: int = LONG) -> DataFrame:
+    """(text_hash, begin, end, first_doc, first_text) of the runs of lines that two distinct texts hold; begin and end are positions."""
+    ws = Workspace(docs.sparkSession)
+    split = F.transform(F.split("text", "\n", -1), words)
+    lines = F.filter(F.transform(split, lambda w, i: F.struct(i.alias("pos"), F.size(w).alias("n"), F.xxhash64(w).alias("h"))), lambda x: x["n"] > 0)
+    d = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), lines.alias("_l"))
+    # Each line has a word, so a run is ``long`` lines at most.
+    none = F.struct(F.lit(0).alias("n"), F.lit(-1).alias("end"), F.lit(0).cast("long").alias("key"))
+    longer = lambda a, x: F.when(a["n"] < long, F.struct((a["n"] + x["n"]).alias("n"), x["pos"].alias("end"), F.xxhash64(a["key"], x["h"]).alias("key"))).otherwise(a)
+    runs = F.transform("_l", lambda x, i: F.struct(x["pos"].alias("begin"), F.aggregate(F.slice("_l", i + 1, F.lit(long)), none, longer).alias("run")))
+    rows = d.select("doc_id", "text_hash", F.explode(runs).alias("r")).where(F.col("r.run.n") >= long)
+    rows = ws.keep(rows.select("doc_id", "text_hash", "r.begin", "r.run.end", "r.run.key"), "runs")
+    # The two ends of a run's range of texts tell whether it has two, without counting.
+    shared = rows.groupBy("key").agg(F.min("text_hash").alias("lo"), F.max("text_hash").alias("hi"), F.min("doc_id").alias("first_doc"), F.min_by("text_hash", "doc_id").alias("first_text"))
+    shared = ws.keep(shared.where("lo < hi").select("key", "first_doc", F.coalesce("first_text", "lo").alias("first_text")), "shared")
+    hits = join_small(rows.select("text_hash", "begin", "end", "key"), shared, "key", shared.count(), "inner")
+    return hits.select("text_hash", "begin", "end", "first_doc", "first_text")
+
+
+def clean_lines(docs: DataFrame, min_docs: int = MIN_DOCS, long: int = LONG, **how: float) -> DataFrame:
     """``docs`` with text without dropped lines, and n_lines and n_dropped added; every row stays."""
     ws = Workspace(docs.sparkSession)
     hits, templates = recurring(docs, min_docs, **how)
     n = templates.count()
     named = join_small(hits, templates.select("template", "first_doc"), "template", n, "inner")
     # A text is one row here however many lines of it recur; its size is bounded by the text's own.
-    marks = ws.keep(named.groupBy("text_hash").agg(F.collect_list(F.struct("pos", "first_doc")).alias("_marks")), "marks")
+    one = named.select("text_hash", F.col("pos").alias("begin"), F.col("pos").alias("end"), "first_doc", F.lit(None).cast("long").alias("first_text"))
+    every = one.union(passages(docs.select("doc_id", "text"), long)).distinct()
+    marks = ws.keep(every.groupBy("text_hash").agg(F.collect_list(F.struct("begin", "end", "first_doc", "first_text")).alias("_marks")), "marks")
     src = docs.withColumn("text_hash", F.xxhash64("text"))
-    out = src.join(marks, "text_hash", "left").drop("text_hash")
-    gone = F.transform(F.filter("_marks", lambda m: ~m["first_doc"].eqNullSafe(F.col("doc_id"))), lambda m: m["pos"])
-    out = out.withColumn("_gone", F.coalesce(gone, F.array().cast("array<int>"))).withColumn("_lines", F.split("text", "\n", -1))
+    out = src.join(marks, "text_hash", "left")
+    others = F.filter("_marks", lambda m: ~m["first_doc"].eqNullSafe(F.col("doc_id")) & ~m["first_text"].eqNullSafe(F.col("text_hash")))
+    # Blank lines inside a run stay.
+    gone = F.array_distinct(F.flatten(F.transform(others, lambda m: F.sequence(m["begin"], m["end"]))))
+    out = out.withColumn("_lines", F.split("text", "\n", -1)).withColumn("_gone", F.filter(gone, lambda i: F.get("_lines", i).rlike(WORD)))
+    out = out.withColumn("_gone", F.coalesce("_gone", F.array().cast("array<int>")))
     left = F.array_join(F.filter("_lines", lambda _, i: ~F.array_contains("_gone", i)), "\n")
     out = out.withColumn("n_lines", F.coalesce(F.size(F.filter("_lines", lambda x: x.rlike(WORD))), F.lit(0)).cast("long"))
     out = out.withColumn("n_dropped", F.size("_gone").cast("long")).withColumn("text", F.when(F.size("_gone") > 0, left).otherwise(F.col("text")))
