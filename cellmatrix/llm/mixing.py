@@ -3,8 +3,13 @@
 Token counts are summed by cell (source, language, topic). Iterative proportional fitting
 rakes the cells' weights to the marginal targets of the three dimensions; each document
 is then kept with the probability that gives its cell the fitted weight, drawn by a hash
-of its id. The topic of a document is the bucket of its smallest word hash unless a topic
-column is named.
+of its id.
+
+Unless a topic column is named, a document's topic is the class of its most over-represented
+keyword. Keywords are the words with between RARE and COMMON of the tokens of their language,
+counted over all documents; over-represented is a keyword by the standard score of its count
+against that share of the document's words, so length has no part in it. Keywords are dealt
+into TOPICS classes by hash; a document without keywords has topic -1.
 
 The targets default to each value's token share to the power ``alpha``, so small sources
 gain. Where a cell would need a probability above 1 its documents are all kept, and the
@@ -20,14 +25,37 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, join_small, lower_ascii, words
+from .common import Workspace, join_small, word_hashes
 
 TOPICS, ROUNDS, ALPHA, FRACTION, SEED = 8, 12, 0.7, 0.5, 17
+RARE, COMMON = 1 / 4000, 1 / 400
 DIMS = ("source", "lang", "topic")
 
 
-def topic(text: Column, n: int = TOPICS) -> Column:
-    return F.coalesce(F.pmod(F.array_min(F.transform(words(lower_ascii(text)), lambda w: F.xxhash64(w))), F.lit(n)), F.lit(-1)).cast("int")
+def language(lang: Column) -> Column:
+    """The language as a key of joins; null is a value of its own."""
+    return F.coalesce(lang.cast("string"), F.lit("\x00null"))
+
+
+def keywords(docs: DataFrame, ws: Workspace) -> DataFrame:
+    """(_lang, _words, _shares): at most 1 / RARE keywords of each language and their shares of its tokens."""
+    each = docs.select(language(F.col("lang")).alias("_lang"), F.explode(word_hashes(F.col("text"))).alias("w"))
+    counted = ws.keep(each.groupBy("_lang", "w").count(), "words")
+    total = counted.groupBy("_lang").agg(F.sum("count").alias("total"))
+    share = counted.join(F.broadcast(total), "_lang").select("_lang", "w", (F.col("count") / F.col("total")).alias("p"))  # a row for each language
+    found = share.where(F.col("p").between(RARE, COMMON)).groupBy("_lang").agg(F.sort_array(F.collect_list(F.struct("w", "p"))).alias("k"))
+    return ws.keep(found.select("_lang", F.col("k.w").alias("_words"), F.col("k.p").alias("_shares")), "keywords")
+
+
+def topic(n: int = TOPICS) -> Column:
+    """The class of the keyword in ``_words`` that the document of words ``_h`` holds most above its share."""
+
+    def score(w: Column) -> Column:
+        want = F.size("_h") * F.get("_shares", F.array_position("_words", w).cast("int") - 1)
+        return F.struct(((F.size("_h") - F.size(F.array_remove("_h", w)) - want) / F.sqrt(want)).alias("z"), w.alias("w"))
+
+    best = F.array_max(F.transform(F.array_intersect("_h", "_words"), score))
+    return F.coalesce(F.pmod(best["w"], F.lit(n)), F.lit(-1)).cast("int")
 
 
 def targets(cells: DataFrame, dim: str, alpha: float = ALPHA) -> DataFrame:
@@ -53,11 +81,15 @@ def rake(cells: DataFrame, goals: dict[str, DataFrame], ws: Workspace, rounds: i
 def mix(docs: DataFrame, fraction: float = FRACTION, rounds: int = ROUNDS, topic_col: str | None = None, goals: dict[str, DataFrame] | None = None, seed: int = SEED) -> DataFrame:
     """``docs`` with topic, n_tokens, weight (of its cell), prob and selected added."""
     ws = Workspace(docs.sparkSession)
-    n = F.size(words(F.col("text"))).cast("long")
-    dims = {"source": F.col("source").cast("string"), "lang": F.col("lang").cast("string"), "topic": F.col(topic_col) if topic_col else topic(F.col("text"))}
+    sized = docs.select("*", word_hashes(F.col("text")).alias("_h"))
+    if not topic_col:
+        sized = sized.withColumn("_lang", language(F.col("lang"))).join(F.broadcast(keywords(docs, ws)), "_lang", "left")
+    sized = sized.select(*docs.columns, (F.col(topic_col) if topic_col else topic()).alias("_topic"), F.size("_h").cast("long").alias("_tokens"))
+    dims = {"source": F.col("source").cast("string"), "lang": F.col("lang").cast("string"), "topic": F.col("_topic")}
     # Null dimensions are a value of their own, in the key and in the targets.
     key = F.xxhash64(*[F.coalesce(v.cast("string"), F.lit("\x00null")) for v in dims.values()])
-    sized = docs.select("*", dims["topic"].alias("_topic"), n.alias("_tokens"), key.alias("_cell"))
+    # Written once, so that words are split and topics found once.
+    sized = ws.keep(sized.withColumn("_cell", key), "sized")
     cells = sized.where("_tokens > 0").groupBy("_cell", dims["source"].alias("source"), dims["lang"].alias("lang"), F.col("_topic").alias("topic")).agg(F.sum("_tokens").alias("tokens"))
     cells = ws.keep(cells, "cells")
     fitted = rake(cells, goals or {d: ws.keep(targets(cells, d), f"goal_{d}") for d in DIMS}, ws, rounds)
