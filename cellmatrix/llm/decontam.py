@@ -79,7 +79,10 @@ class Items:
             self.sorted.append((k[order], order))
         self.bits = np.zeros(1 << 22, bool)
         self.bits[np.concatenate(pairs) >> np.uint64(42)] = True
-        self.short = {x.tobytes(): n for n, x in enumerate(self.words) if len(x) < MIN_WORDS}
+        self.short: dict[bytes, list[int]] = {}
+        for n, x in enumerate(self.words):
+            if len(x) < MIN_WORDS:
+                self.short.setdefault(x.tobytes(), []).append(n)
         self.short_sizes = sorted({len(x) for x in self.words if len(x) < MIN_WORDS})
 
     def positions(self, x: np.ndarray) -> np.ndarray:
@@ -97,8 +100,9 @@ class Items:
             first = {y.tobytes()[:8] for y in self.words if len(y) == size}
             for s in np.flatnonzero(np.isin(x, np.frombuffer(b"".join(first), np.uint64))).tolist():
                 doc = int(np.searchsorted(ends, s, "right"))
-                if s + size <= ends[doc] and (n := self.short.get(x[s : s + size].tobytes())) is not None:
-                    out.setdefault((doc, n), (0, s - int(begins[doc]), size))
+                if s + size <= ends[doc]:
+                    for n in self.short.get(x[s : s + size].tobytes(), []):
+                        out.setdefault((doc, n), (0, s - int(begins[doc]), size))
         if len(x) < 2 or not len(at := self.positions(x)):
             return out
         proposed = []

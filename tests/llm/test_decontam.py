@@ -51,3 +51,10 @@ def test_edges(spark):
     assert got == [(1, 1, 0), (1, 1, 0), (4, 4, 0)]
     assert sorted(r["doc_id"] for r in decontam.clean_documents(docs, items).collect()) == [2, 3, 5]
     assert decontam.leaks(docs.limit(0), items).count() == 0 and decontam.clean_documents(docs, items.limit(0)).count() == 6
+
+
+def test_short_items_of_equal_words(spark):
+    docs = spark.createDataFrame([(1, "x alpha beta gamma y"), (2, "alpha gamma beta")], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "Alpha beta gamma"), (2, "alpha, beta gamma."), (3, "alpha gamma")], "item_id long, text string")
+    got = sorted((r["doc_id"], r["item_id"], r["edits"], r["first_word"]) for r in decontam.leaks(docs, items).collect())
+    assert got == [(1, 1, 0, 1), (1, 2, 0, 1), (2, 3, 0, 0)]
