@@ -14,6 +14,7 @@ ignored.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,7 +45,7 @@ def stats(t: str | None) -> list[float]:
     m = max(len(lines), 1)
     distinct = set(w)
     grams = set(zip(w, w[1:], strict=False))
-    first = max((w.count(x) for x in sorted(distinct, key=len)[:3]), default=0)
+    first = max(Counter(w).values(), default=0)
     return [
         np.log1p(len(w)), min(size.mean(), 30.0), min(size.std(), 30.0), len(distinct) / n**0.8, b[48:58].sum() / c,
         b[65:91].sum() / c, b[[33, 35, 36, 37, 38, 42, 43, 60, 61, 62, 64, 94, 95, 123, 124, 125, 126]].sum() / c, (b[46] + b[63]) / n, b[44] / n,
