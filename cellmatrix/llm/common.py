@@ -6,6 +6,8 @@ import atexit
 import sys
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -24,8 +26,16 @@ ship(__name__)
 SPACES = " \t\n\x0b\f\r"
 WORD, GAP = r"[^ \t\n\x0B\f\r]", r"[ \t\n\x0B\f\r]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Rows of a join side that may be broadcast; both the bound and the row width are small (under 32 bytes a row).
-BROADCAST_ROWS = 200_000
+#: Rows of a join side that may be broadcast where its rows are of a fixed width (64 bytes at most, so 6 MB).
+BROADCAST_ROWS = 100_000
+#: How written tables are made: joins of tables that grow with the corpus are dealt by key at every size,
+#: shuffle files go when the table is there, and Python workers get small batches.
+MAKING = {
+    "spark.sql.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
+    "spark.sql.execution.arrow.maxBytesPerBatch": "8m",
+}
 
 _created: list[tuple[SparkSession, str]] = []
 
@@ -51,6 +61,22 @@ def local_path(uri: str) -> str:
     return uri
 
 
+@contextmanager
+def making(spark: SparkSession) -> Iterator[None]:
+    """The settings of MAKING, for what runs inside."""
+    before = {k: spark.conf.get(k, None) for k in MAKING}
+    for k, v in MAKING.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
+
+
 class Workspace:
     """Tables written in the shared folder to cut lineage; a lost executor rereads them."""
 
@@ -64,12 +90,14 @@ class Workspace:
     def keep(self, df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
         """Write ``df`` once and return the written table."""
         path = f"{self.root}/{name}"
-        df.write.option("compression", codec).parquet(path)
+        with making(self.spark):
+            df.write.option("compression", codec).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def drop(self, name: str) -> None:
-        """Delete a table that nothing reads any more."""
-        _delete(self.spark, f"{self.root}/{name}")
+    def drop(self, *names: str) -> None:
+        """Delete tables that nothing reads any more."""
+        for name in names:
+            _delete(self.spark, f"{self.root}/{name}")
 
 
 def _delete(spark: SparkSession, path: str) -> None:

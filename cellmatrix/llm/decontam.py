@@ -5,9 +5,10 @@ reads a word, writes it, and steps on by a random bit that depends on the place
 output and the word; small edit distances become small Hamming distances of the outputs.
 Each of ``reps`` repetitions has its own walk and its own sample of output places as key.
 Keys of every item offset are held against those of every document position whose words
-could be part of an item (enough word pairs of the benchmark within a window, a necessary
-condition at this edit rate). A hit proposes the item-sized window there, and a word edit
-distance of at most ``rate`` times the item's words confirms it.
+could be part of an item (enough word pairs of the benchmark within a window). A hit
+proposes the item-sized window there. Windows near which too few of the item's word
+triples stand are set aside without loss, and a word edit distance of at most ``rate``
+times the item's words confirms the others.
 
 The benchmark is sent to workers in blocks of at most BLOCK_WORDS words; a larger one
 takes one pass over the documents for each block.
@@ -55,6 +56,12 @@ def keys(x: np.ndarray, at: np.ndarray, rep: int) -> np.ndarray:
     return out
 
 
+def triple(x: np.ndarray, at: np.ndarray | None = None) -> np.ndarray:
+    """A hash of the three words from each place on."""
+    a, b, c = (x[:-2], x[1:-1], x[2:]) if at is None else (x[at], x[at + 1], x[at + 2])
+    return blend(blend(a, 1) ^ b, 2) ^ c
+
+
 class Items:
     """The benchmark's keys, sorted, and its word pairs."""
 
@@ -79,6 +86,11 @@ class Items:
             self.sorted.append((k[order], order))
         self.bits = np.zeros(1 << 22, bool)
         self.bits[np.concatenate(pairs) >> np.uint64(42)] = True
+        long = [n for n, x in enumerate(self.words) if len(x) >= MIN_WORDS]
+        triples = [(triple(self.words[n]), np.full(len(self.words[n]) - 2, n), np.arange(len(self.words[n]) - 2)) for n in long]
+        t, n, o = (np.concatenate([x[i] for x in triples] or [np.zeros(0, np.uint64 if i == 0 else np.int64)]) for i in range(3))
+        order = np.argsort(t, kind="stable")
+        self.triples, self.triple_item, self.triple_offset = t[order], n[order], o[order]
         self.short: dict[bytes, list[int]] = {}
         for n, x in enumerate(self.words):
             if len(x) < MIN_WORDS:
@@ -92,6 +104,45 @@ class Items:
         at = np.flatnonzero(hit)
         return at[total[np.minimum(at + SPAN, len(hit))] - total[at] >= NEED]
 
+    def supported(self, x: np.ndarray, ends: np.ndarray, begins: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """(document, item, cell) of the key hits at the positions ``at`` near which enough word triples of the item stand.
+
+        Each edit touches three of an item's triples at most, and the diagonals of a match
+        lie within ``slack`` of each other, so a match has this support in its cell and the
+        two beside it.
+        """
+        size = np.array([len(y) for y in self.words])
+        width = int(np.diff(np.r_[begins, ends[-1:]]).max() + size.max()) + 3
+
+        def cells(p: np.ndarray, n: np.ndarray, o: np.ndarray) -> np.ndarray:
+            doc = np.searchsorted(ends, p, "right")
+            return (doc * len(size) + n) * 2 * width + (p - begins[doc] - o) // (self.slack[n] + 1) + width
+
+        def spread(p: np.ndarray, k: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            lo = np.searchsorted(k, q, "left")
+            many = np.searchsorted(k, q, "right") - lo
+            return np.repeat(p, many), np.repeat(lo - np.cumsum(many) + many, many) + np.arange(int(many.sum()))
+
+        hit = self.bits[(blend(x[:-1], 1) ^ x[1:]) >> np.uint64(42)]
+        p = np.flatnonzero(hit[:-1] & hit[1:])
+        p, e = spread(p, self.triples, triple(x, p))
+        known, count = np.unique(cells(p, self.triple_item[e], self.triple_offset[e]), return_counts=True)
+        found = []
+        for r, (k, order) in enumerate(self.sorted):
+            p, e = spread(at, k, keys(x, at, r))
+            e = order[e]
+            found.append(cells(p, self.item[e], self.offset[e]))
+        every = np.unique(np.concatenate(found))
+        if not len(known) or not len(every):
+            return np.zeros((0, 3), np.int64)
+        total = np.zeros(len(every), np.int64)
+        for step in (-1, 0, 1):
+            i = np.minimum(np.searchsorted(known, every + step), len(known) - 1)
+            total += np.where(known[i] == every + step, count[i], 0)
+        n = every // (2 * width) % len(size)
+        on = (size[n] >= MIN_WORDS) & (total >= size[n] - 2 - 3 * self.slack[n])
+        return np.stack([every // (2 * width) // len(size), n, every % (2 * width) - width], 1)[on]
+
     def matches(self, x: np.ndarray, ends: np.ndarray) -> dict[tuple[int, int], tuple[int, int, int]]:
         """(document, item) -> (edits, first word, words) of the best window; x holds the documents up to each of ``ends``."""
         out: dict[tuple[int, int], tuple[int, int, int]] = {}
@@ -105,21 +156,8 @@ class Items:
                         out.setdefault((doc, n), (0, s - int(begins[doc]), size))
         if len(x) < 2 or not len(at := self.positions(x)):
             return out
-        proposed = []
-        for r, (k, order) in enumerate(self.sorted):
-            q = keys(x, at, r)
-            lo, hi = np.searchsorted(k, q, "left"), np.searchsorted(k, q, "right")
-            many = hi - lo
-            p = np.repeat(at, many)
-            e = order[np.repeat(lo - np.cumsum(many) + many, many) + np.arange(len(p))]
-            n = self.item[e]
-            doc = np.searchsorted(ends, p, "right")
-            cell = (p - begins[doc] - self.offset[e]) // (self.slack[n] + 1)
-            proposed.append(np.unique(np.stack([doc, n, cell], 1), axis=0))
-        for doc, n, cell in np.unique(np.concatenate(proposed), axis=0).tolist():
+        for doc, n, cell in self.supported(x, ends, begins, at).tolist():
             y, most = self.words[n], int(self.slack[n])
-            if len(y) < MIN_WORDS:
-                continue
             lo = max(0, cell * (most + 1) - most)
             z = x[begins[doc] + lo : min(ends[doc], begins[doc] + lo + len(y) + 3 * most + 2)]
             # Each word of the item that is not in the region costs an edit.
