@@ -16,7 +16,9 @@ dedup to take out. At the end of a passage lines of under ``long`` words may sta
 Defined results: a null or empty text has no lines; blank lines are never dropped; lines
 under ``min_tokens`` tokens are left alone; exact copies of a text support a template
 once; repeated rows of the first document all keep the line; a null doc_id sorts after
-all others; an empty table gives an empty result; extra columns are kept.
+all others; of texts with equal smallest doc_ids (repeated ids) any may keep a passage; a
+very long text is one row of lines, so it is bounded by its own size; an empty table gives
+an empty result; extra columns are kept, but columns named n_lines or n_dropped are replaced.
 """
 
 from __future__ import annotations
@@ -53,23 +55,27 @@ def recurring(docs: DataFrame, min_docs: int = MIN_DOCS, min_tokens: int = MIN_T
     rows = line_rows(docs.select("doc_id", "text")).where(F.size("tokens") >= min_tokens)
     leaves = ws.keep(support(rows, "leaf").where(F.col("n_docs") >= min_docs).select("leaf"), "leaves")
     own = ws.keep(join_small(rows, leaves, "leaf", leaves.count(), "inner").groupBy("text_hash", "pos", "leaf", "tokens").agg(F.min("doc_id").alias("doc_id")), "lines")
-    tokens = own.select("leaf", "text_hash", F.posexplode("tokens").alias("at", "token"))
+    tokens = own.select("leaf", "text_hash", "pos", F.posexplode("tokens").alias("at", "token"))
     const = tokens.groupBy("leaf", "at", "token", "text_hash").count().groupBy("leaf", "at", "token").count().where(F.col("count") >= min_docs)
-    const = ws.keep(const.groupBy("leaf").agg(F.collect_set(F.xxhash64("at", "token")).alias("const")), "const")
-    fixed = join_small(own, const, "leaf", 1 << 62 if const.count() > 10_000 else 0)
-    shown = F.transform("tokens", lambda t, i: F.when(F.array_contains(F.coalesce("const", F.array().cast("array<long>")), F.xxhash64(i, t)), t))
-    known = fixed.withColumn("shown", shown).where(F.size(F.filter("shown", lambda t: t.isNotNull())) >= min_const * F.size("tokens"))
+    # The constant tokens of each line, found by token, so that no row grows with a leaf's tokens.
+    const = ws.keep(const.select("leaf", "at", "token", F.xxhash64("leaf", "at", "token").alias("key")), "const")
+    each = tokens.select(F.xxhash64("leaf", "at", "token").alias("key"), "text_hash", "pos", "at")
+    fixed = join_small(each, const.select("key"), "key", const.count(), "inner").groupBy("text_hash", "pos").agg(F.collect_list("at").alias("const"))
+    shown = F.transform("tokens", lambda t, i: F.when(F.array_contains(F.coalesce("const", F.array().cast("array<int>")), i), t))
+    known = own.join(fixed, ["text_hash", "pos"], "left").withColumn("shown", shown).where(F.size(F.filter("shown", lambda t: t.isNotNull())) >= min_const * F.size("tokens"))
     # Unshown places are written <*>; the leaf stands for the token count.
     line = F.concat_ws(" ", F.transform("shown", lambda t: F.coalesce(t, F.lit("<*>"))))
     known = ws.keep(known.select("text_hash", "pos", "doc_id", line.alias("line"), F.xxhash64("leaf", line).alias("template")), "known")
     templates = ws.keep(support(known, "template").where(F.col("n_docs") >= min_docs), "templates")
     hits = join_small(known.select("text_hash", "pos", "template"), templates.select("template"), "template", templates.count(), "inner")
-    return ws.keep(hits, "hits"), templates
+    hits = ws.keep(hits, "hits")
+    ws.drop("leaves", "lines", "const", "known")
+    return hits, templates
 
 
-def passages(docs: DataFrame, long: int = LONG) -> DataFrame:
+def passages(docs: DataFrame, long: int = LONG, ws: Workspace | None = None) -> DataFrame:
     """(text_hash, begin, end, first_doc, first_text) of the runs of lines that two distinct texts hold; begin and end are positions."""
-    ws = Workspace(docs.sparkSession)
+    ws = ws or Workspace(docs.sparkSession)
     split = F.transform(F.split("text", "\n", -1), words)
     lines = F.filter(F.transform(split, lambda w, i: F.struct(i.alias("pos"), F.size(w).alias("n"), F.xxhash64(w).alias("h"))), lambda x: x["n"] > 0)
     d = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), lines.alias("_l"))
@@ -89,21 +95,24 @@ def passages(docs: DataFrame, long: int = LONG) -> DataFrame:
 def clean_lines(docs: DataFrame, min_docs: int = MIN_DOCS, long: int = LONG, **how: float) -> DataFrame:
     """``docs`` with text without dropped lines, and n_lines and n_dropped added; every row stays."""
     ws = Workspace(docs.sparkSession)
-    hits, templates = recurring(docs, min_docs, **how)
-    n = templates.count()
-    named = join_small(hits, templates.select("template", "first_doc"), "template", n, "inner")
+    src = docs.select("doc_id", "text")
+    hits, templates = recurring(src, min_docs, **how)
+    named = join_small(hits, templates.select("template", "first_doc"), "template", templates.count(), "inner")
     # A text is one row here however many lines of it recur; its size is bounded by the text's own.
     one = named.select("text_hash", F.col("pos").alias("begin"), F.col("pos").alias("end"), "first_doc", F.lit(None).cast("long").alias("first_text"))
-    every = one.union(passages(docs.select("doc_id", "text"), long)).distinct()
-    marks = ws.keep(every.groupBy("text_hash").agg(F.collect_list(F.struct("begin", "end", "first_doc", "first_text")).alias("_marks")), "marks")
-    src = docs.withColumn("text_hash", F.xxhash64("text"))
-    out = src.join(marks, "text_hash", "left")
-    others = F.filter("_marks", lambda m: ~m["first_doc"].eqNullSafe(F.col("doc_id")) & ~m["first_text"].eqNullSafe(F.col("text_hash")))
+    every = one.union(passages(src, long, ws)).distinct()
+    marks = ws.keep(every.groupBy("text_hash").agg(F.collect_list(F.struct("begin", "end", "first_doc", "first_text")).alias("marks")), "marks")
+    ws.drop("runs", "shared")
+    # By sort and merge, in which a hot text's copies can be split; how many marks there are grows with the corpus.
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    out = docs.select(row.alias("d"), F.xxhash64("text").alias("text_hash")).join(marks.hint("merge"), "text_hash", "left")
+    others = F.filter("marks", lambda m: ~m["first_doc"].eqNullSafe(F.col("d.doc_id")) & ~m["first_text"].eqNullSafe(F.col("text_hash")))
+    places = F.array_distinct(F.flatten(F.transform(others, lambda m: F.sequence(m["begin"], m["end"]))))
+    out = out.select("d", F.split("d.text", "\n", -1).alias("lines"), places.alias("places"))
     # Blank lines inside a run stay.
-    gone = F.array_distinct(F.flatten(F.transform(others, lambda m: F.sequence(m["begin"], m["end"]))))
-    out = out.withColumn("_lines", F.split("text", "\n", -1)).withColumn("_gone", F.filter(gone, lambda i: F.get("_lines", i).rlike(WORD)))
-    out = out.withColumn("_gone", F.coalesce("_gone", F.array().cast("array<int>")))
-    left = F.array_join(F.filter("_lines", lambda _, i: ~F.array_contains("_gone", i)), "\n")
-    out = out.withColumn("n_lines", F.coalesce(F.size(F.filter("_lines", lambda x: x.rlike(WORD))), F.lit(0)).cast("long"))
-    out = out.withColumn("n_dropped", F.size("_gone").cast("long")).withColumn("text", F.when(F.size("_gone") > 0, left).otherwise(F.col("text")))
-    return out.select(*docs.columns, "n_lines", "n_dropped")
+    out = out.select("d", "lines", F.coalesce(F.filter("places", lambda i: F.get("lines", i).rlike(WORD)), F.array().cast("array<int>")).alias("gone"))
+    left = F.transform(F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("gone")), lambda i: F.get("lines", i))
+    text = F.when(F.size("gone") > 0, F.array_join(left, "\n")).otherwise(F.col("d.text"))
+    n_lines = F.coalesce(F.size(F.filter("lines", lambda x: x.rlike(WORD))), F.lit(0)).cast("long")
+    own = [text.alias("text") if c == "text" else F.col(f"d.`{c}`").alias(c) for c in docs.columns if c not in ("n_lines", "n_dropped")]
+    return out.select(*own, n_lines.alias("n_lines"), F.size("gone").cast("long").alias("n_dropped"))

@@ -10,7 +10,9 @@ round, and so does the length of the jumps.
 Defined results: null html is an empty payload; a null page_id or url leaves the header
 out (null when read); line breaks in a url are written as %0A; rows repeated with page_id
 and payload are each the response; an empty table gives an empty result; extra columns
-are ignored.
+are ignored; a very long payload is one row. A record that says nothing of its length, or
+ends before its file does (a torn file), ends its file's chain: ``read`` raises ValueError
+then, or with ``strict=False`` returns the records up to it.
 """
 
 from __future__ import annotations
@@ -52,25 +54,26 @@ def write(planned: DataFrame, path: str) -> None:
     planned.select(F.concat(head, block)).write.option("lineSep", END).text(path)
 
 
-def candidates(spark: SparkSession, path: str) -> DataFrame:
-    """Pieces between magics: file, at (the offset of the magic), next (null: not a record) and the piece."""
-    ws = Workspace(spark)
+def candidates(spark: SparkSession, path: str, ws: Workspace) -> tuple[DataFrame, DataFrame]:
+    """(pieces, candidates): k and the text between magics; k, file, at (the offset of the magic) and next (null: not a record)."""
     raw = spark.read.option("lineSep", MAGIC).text(path).select(
         F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("part"), F.monotonically_increasing_id().alias("k"), F.col("value").alias("piece")
     )
-    raw = ws.keep(raw, "pieces")
-    size = raw.select("file", "part", "k", (F.octet_length("piece") + len(MAGIC)).cast("long").alias("size"))
-    # Offsets: sums inside each split, then over the splits of a file.
-    parts = size.groupBy("file", "part").agg(F.sum("size").alias("total"))
-    before = F.sum("total").over(_upto("file", "part")) - F.col("total")
-    starts = parts.select("file", "part", before.alias("base"))
-    own = F.sum("size").over(_upto(["file", "part"], "k")) - F.col("size")
-    at = size.select("file", "part", "k", own.alias("own")).join(starts, ["file", "part"]).select("k", (F.col("base") + F.col("own") - len(MAGIC)).alias("at"))
+    pieces = ws.keep(raw, "pieces")
     head = F.substring_index("piece", END, 1)
     length = F.regexp_extract(head, r"(?i)(?:^|\r\n)Content-Length: *(\d{1,18})", 1)
-    ok = (F.octet_length(head) < F.octet_length("piece")) & (length != "")
-    nxt = F.col("at") + len(MAGIC) + F.octet_length(head) + 2 * len(END) + F.when(length != "", length).cast("long")
-    return ws.keep(raw.join(at, "k").where("at >= 0").select("file", "at", F.when(ok, nxt).alias("next"), head.alias("head"), "piece"), "candidates")
+    bytes_ = F.octet_length("piece")
+    size = pieces.select(
+        "file", "part", "k", (bytes_ + len(MAGIC)).cast("long").alias("size"),
+        F.when((F.octet_length(head) < bytes_) & (length != ""), F.octet_length(head) + 2 * len(END) + length.cast("long")).alias("span"),
+    )
+    # Offsets: sums inside each split, then over the splits of a file.
+    parts = size.groupBy("file", "part").agg(F.sum("size").alias("total"))
+    starts = parts.select("file", "part", (F.sum("total").over(_upto("file", "part")) - F.col("total")).alias("base"))
+    own = size.withColumn("own", F.sum("size").over(_upto(["file", "part"], "k")) - F.col("size"))
+    at = own.join(starts, ["file", "part"]).withColumn("at", F.col("base") + F.col("own") - len(MAGIC))
+    # What stands before a file's first magic is no candidate, but an empty file's or a foreign one's end.
+    return pieces, ws.keep(at.select("k", "file", "at", (F.col("at") + len(MAGIC) + F.col("span")).alias("next"), (F.col("at") + F.col("size")).alias("end")), "candidates")
 
 
 def _upto(keys, order):
@@ -79,20 +82,20 @@ def _upto(keys, order):
     return Window.partitionBy(keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
 
 
-def reachable(cand: DataFrame) -> DataFrame:
+def reachable(cand: DataFrame, ws: Workspace) -> DataFrame:
     """(file, at) of the candidates on each file's chain from offset 0."""
-    ws = Workspace(cand.sparkSession)
-    edges = cand.where("next is not null").select("file", "at", "next")
+    edges = cand.where("next is not null and at >= 0").select("file", "at", "next")
     # Jumps that leave the candidates (the end of a file) lead nowhere.
-    jump = ws.keep(edges.join(edges.select("file", F.col("at").alias("next")), ["file", "next"]).select("file", "at", "next"), "jump0")
+    jump = ws.keep(edges.join(cand.select("file", F.col("at").alias("next")), ["file", "next"]).select("file", "at", "next"), "jump0")
     reached = new = ws.keep(cand.where("at = 0").select("file", "at"), "reach0")
     for k in range(1, 64):
-        new = ws.keep(reached.join(jump, ["file", "at"]).select("file", F.col("next").alias("at")), f"new{k}")
+        new = ws.keep(reached.join(jump, ["file", "at"]).select("file", F.col("next").alias("at")), f"reach{k}")
         if new.isEmpty():
             break
         reached = reached.union(new)
         to = jump.select("file", F.col("at").alias("next"), F.col("next").alias("to"))
         jump = ws.keep(jump.join(to, ["file", "next"]).select("file", "at", F.col("to").alias("next")), f"jump{k}")
+        ws.drop(f"jump{k - 1}")
     return reached
 
 
@@ -101,21 +104,35 @@ def header(name: str) -> Column:
     return F.when(v != "", v)
 
 
-def read(spark: SparkSession, path: str) -> DataFrame:
+def read(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
     """A row per record: page_id, url, record_type, refers_to, payload_digest, payload_bytes, payload (binary; null: revisit)."""
     ws = Workspace(spark)
-    cand = candidates(spark, path)
-    true = reachable(cand).withColumn("real", F.lit(True))
-    marked = cand.join(true, ["file", "at"], "left")
-    # False candidates are payload of the record before them; there are few, so records without any skip the sort.
-    last = F.max(F.when(F.col("real"), F.col("at"))).over(_upto("file", "at"))
-    owner = ws.keep(marked.select("file", "at", "real").withColumn("owner", last).where("real is null").select("file", "at", "owner"), "owners")
-    rest = cand.join(owner, ["file", "at"]).groupBy("file", F.col("owner").alias("at")).agg(F.array_sort(F.collect_list(F.struct("at", "piece"))).alias("rest"))
-    whole = marked.where("real").join(rest, ["file", "at"], "left")
-    tail = F.array_join(F.transform("rest", lambda x: F.concat(F.lit(MAGIC), x["piece"])), "")
-    piece = F.concat(F.col("piece"), F.coalesce(tail, F.lit(""))).cast("binary")
+    pieces, cand = candidates(spark, path, ws)
+    true = reachable(cand, ws).withColumn("real", F.lit(True))
+    marked = ws.keep(cand.where("at >= 0").join(true, ["file", "at"], "left"), "marked")
+    if strict:
+        ends = marked.groupBy("file").agg(F.max("end").alias("size"), F.max(F.when(F.col("real"), F.coalesce("next", F.lit(-1)))).alias("to"))
+        torn = ends.where("to is null or size <> to").select("file").limit(5).collect()
+        if torn:
+            raise ValueError(f"torn WARC files, or no WARC files: {sorted(r['file'] for r in torn)}")
+    # False candidates are payload of the record before them. There are few, and only files that hold some are sorted.
+    files = marked.where("real is null").select("file").distinct()
+    last = F.max(F.when(F.col("real"), F.struct("at", "k"))).over(_upto("file", "at"))
+    owners = marked.join(files, "file", "left_semi").select("k", "at", "real", last["k"].alias("owner")).where("real is null").select("k", "at", "owner")
+    owners = ws.keep(owners, "owners")
+    tails = pieces.join(owners, "k").groupBy(F.col("owner").alias("k")).agg(F.array_sort(F.collect_list(F.struct("at", "piece"))).alias("rest"))
+    tails = ws.keep(tails, "tails")
+    # A piece is a record as it stands unless it is before the first magic, false, or has false ones after it.
+    odd = owners.select("k", F.lit(0).alias("as")).union(tails.select("k", F.lit(1).alias("as"))).union(cand.where("at < 0").select("k", F.lit(0).alias("as")))
+    odd = ws.keep(odd, "odd")
+    told = join_small(pieces.select("k", "piece"), odd, "k", odd.count())
+    plain = told.where("as is null").select("piece")
+    cut = pieces.join(tails, "k").select(F.concat("piece", F.array_join(F.transform("rest", lambda x: F.concat(F.lit(MAGIC), x["piece"])), "")).alias("piece"))
+    ws.drop("candidates", "marked")
+    recs = plain.union(cut).withColumn("head", F.substring_index("piece", END, 1))
+    piece = F.col("piece").cast("binary")
     size = header("Content-Length").cast("int")
-    recs = whole.select("head", F.substring(piece, F.octet_length("head") + len(END) + 1, size).alias("block"))
+    recs = recs.select("head", F.substring(piece, F.octet_length("head") + len(END) + 1, size).alias("block"))
     http = F.octet_length(F.substring_index(F.col("block").cast("string"), END, 1)) + len(END)
     recs = recs.withColumn("http", http).withColumn("payload", F.substring("block", F.col("http") + 1, F.octet_length("block")))
     page = lambda name: F.regexp_extract(F.coalesce(header(name), F.lit("")), r"<urn:page:(-?\d+)>", 1)
