@@ -3,23 +3,27 @@
 Two small collections of ``bands`` minhash bands are computed; table (i, j) is keyed by
 band i of the first and band j of the second, so bands * bands tables cost 2 * bands band
 hashes (bands of WIDTH minhashes). At similarity s a pair misses every table with chance
-about 2 * (1 - s^WIDTH)^bands. A band value that no other text has is dropped before the
-combinations are made. Candidates are confirmed on full shingle sets.
-
-Texts with equal sets are one class, named by its smallest doc_id. Links are sought in
-three rounds: in a few tables each member is held against one leader of its bucket; in
-all tables members whose component differs from the leader's are; and in buckets that
-still hold several components every pair across components is, so a pair that shares a
-bucket is either in one component already or has been verified. No pair is formed inside
-a component.
+about 2 * (1 - s^WIDTH)^bands (3e-6 at 0.85, 9e-5 at 0.8). A band value that no other
+component has is dropped before the combinations are made.
+
+Texts with equal sets are one class. Candidates come from the tables in rounds: in the
+first few rounds each member of a bucket is held against one leader of it, as long as the
+bucket has several components; in the last round every pair of a bucket across components
+is. So a pair that shares a bucket is in one component already or has been a candidate,
+and a large group costs a pass over its members, not its square. Candidates whose sizes
+cannot reach the similarity, or whose sketches (one bit of each minhash) differ in more
+bits than a similar pair does with chance LOST, are dropped; the others are confirmed on
+full shingle sets.
 
 Defined results: null, empty or wordless texts have empty sets and are linked with
-nothing; repeated rows each get a row; rows with a null doc_id are components of their
-own and kept; an empty table gives an empty result; extra columns are ignored.
+nothing; repeated rows each get a row, and the texts of one doc_id are linked with each
+other; rows with a null doc_id are components of their own and kept; a very long text is
+one row of shingles; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,11 +31,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, lower_ascii, ship, words
+from .common import BROADCAST_ROWS, Workspace, lower_ascii, ship, words
 
 ship(__name__)
 
-SHINGLE, PCT, BANDS, WIDTH, SEED = 3, 85, 14, 2, 23
+SHINGLE, PCT, BANDS, WIDTH, SEED, LOST = 3, 85, 14, 3, 23, 1e-6
+#: First lists of tables (the diagonal) and how many rounds have leaders in all tables.
+QUICK, LED = 3, 2
 
 
 def shingle_sets(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
@@ -46,11 +52,12 @@ def shingle_sets(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
 
 
 def sign(docs: DataFrame, bands: int, size: int = SHINGLE) -> DataFrame:
-    """doc_id, n, h1, h2 (two hashes of the set) and the band values of both collections."""
+    """doc_id, n, h1, h2 (two hashes of the set), the band values of both collections and the sketch (two longs)."""
     kind = dict(docs.dtypes)["doc_id"]
     rng = np.random.default_rng(SEED)
     mul = rng.integers(1, 1 << 63, 2 * bands * WIDTH, dtype=np.uint64) | np.uint64(1)
     add = rng.integers(0, 1 << 63, 2 * bands * WIDTH, dtype=np.uint64)
+    half = bands * WIDTH
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -58,24 +65,46 @@ def sign(docs: DataFrame, bands: int, size: int = SHINGLE) -> DataFrame:
             x = np.asarray(b.column(1).flatten(), dtype=np.int64).view(np.uint64)
             full = np.flatnonzero(n)
             begin = (np.cumsum(n) - n)[full]
-            out = np.zeros((len(n), 2 * bands), np.uint64)
-            if len(full):
-                y = x ^ (x >> np.uint64(31))
-                for k in range(2 * bands * WIDTH):
+            out, bits = np.zeros((len(n), 2 * bands), np.uint64), np.zeros((len(n), 2), np.uint64)
+            # As many texts at a time as have some 200,000 shingles.
+            for at in np.split(np.arange(len(full)), np.flatnonzero(np.diff((np.cumsum(n[full]) - n[full]) // 200_000)) + 1) if len(full) else []:
+                rows, first = full[at], begin[at]
+                y = x[first[0] : first[-1] + n[rows[-1]]]
+                y, first = y ^ (y >> np.uint64(31)), first - first[0]
+                for k in range(2 * half):
                     z = y * mul[k] + add[k]
                     z ^= z >> np.uint64(32)
                     z *= np.uint64(0x9E3779B97F4A7C15)
-                    out[full, k // WIDTH] = out[full, k // WIDTH] * np.uint64(0x100000001B3) + np.minimum.reduceat(z, begin)
+                    least = np.minimum.reduceat(z, first)
+                    out[rows, k // WIDTH] = out[rows, k // WIDTH] * np.uint64(0x100000001B3) + least
+                    bits[rows, k // half] |= (least >> np.uint64(7) & np.uint64(1)) << np.uint64(k % half)
             flat = pa.array(out.view(np.int64).ravel())
             keys = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * (2 * bands)), flat)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), b.column(2), b.column(3), keys], names=["doc_id", "n", "h1", "h2", "keys"])
+            sketch = [pa.array(np.ascontiguousarray(bits[:, i]).view(np.int64)) for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), b.column(2), b.column(3), keys, *sketch], names=["doc_id", "n", "h1", "h2", "keys", "s1", "s2"])
 
     sets = shingle_sets(docs, size)
     return sets.select("doc_id", "s", F.xxhash64("s", F.lit(1)).alias("h1"), F.xxhash64(F.lit(2), "s").alias("h2")).mapInArrow(
-        run, f"doc_id {kind}, n long, h1 long, h2 long, keys array<long>"
+        run, f"doc_id {kind}, n long, h1 long, h2 long, keys array<long>, s1 long, s2 long"
     )
 
 
+def sketch_limit(bits: int, pct: int) -> int:
+    """In how many of ``bits`` the sketches of a pair of ``pct`` percent differ, but with chance LOST."""
+    p, tail, t = (1 - pct / 100) / 2, 1.0, -1
+    while tail > LOST:
+        t += 1
+        tail -= math.comb(bits, t) * p**t * (1 - p) ** (bits - t)
+    return t
+
+
+def alike(a: str, b: str, bits: int, pct: int) -> Column:
+    """Whether the sizes and sketches of a pair (columns n, s1, s2 with the two endings) allow the similarity."""
+    n, m = F.col(f"n{a}"), F.col(f"n{b}")
+    far = sum(F.bit_count(F.col(f"s{i}{a}").bitwiseXOR(F.col(f"s{i}{b}"))) for i in (1, 2))
+    return (100 * F.least(n, m) >= pct * F.greatest(n, m)) & (far <= sketch_limit(bits, pct))
+
+
 def components(edges: DataFrame, ws: Workspace, name: str) -> DataFrame:
     """(node, comp) of the nodes of ``edges`` (a, b); comp is the smallest node reachable.
 
@@ -89,6 +118,7 @@ def components(edges: DataFrame, ws: Workspace, name: str) -> DataFrame:
         for j in range(1, 64):
             to = up.select(F.col("node").alias("comp"), F.col("comp").alias("_to"))
             nxt = ws.keep(up.join(to, "comp").select("node", F.col("_to").alias("comp"), (F.col("_to") != F.col("comp")).alias("moved")), f"{name}_p{k}_{j}")
+            ws.drop(f"{name}_p{k}_{j - 1}")
             up = nxt.select("node", "comp")
             if nxt.where("moved").isEmpty():
                 break
@@ -104,55 +134,75 @@ def components(edges: DataFrame, ws: Workspace, name: str) -> DataFrame:
 
 
 def verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, ws: Workspace, name: str, pct: int, size: int) -> DataFrame:
-    """The pairs (a, b) whose full sets reach ``pct`` percent; sets are made for their texts alone."""
-    n = reps.select("rep", "n")
-    na, nb = n.select(F.col("rep").alias("a"), F.col("n").alias("na")), n.select(F.col("rep").alias("b"), F.col("n").alias("nb"))
-    pairs = ws.keep(pairs.distinct().join(na, "a").join(nb, "b").where(100 * F.least("na", "nb") >= pct * F.greatest("na", "nb")), f"{name}_c")
-    need = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    text = docs.join(need, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    sets = ws.keep(shingle_sets(text, size), f"{name}_s")
-    sa, sb = sets.select(F.col("doc_id").alias("a"), F.col("s").alias("sa")), sets.select(F.col("doc_id").alias("b"), F.col("s").alias("sb"))
+    """The distinct pairs (a, b) of classes whose full sets reach ``pct`` percent; sets are made for their texts alone."""
+    need = pairs.select(F.col("a").alias("c")).union(pairs.select(F.col("b").alias("c"))).distinct()
+    need = ws.keep(reps.join(need, "c").select("c", F.col("rep").alias("doc_id"), "h1"), f"{name}_n")
+    # Texts are looked up by id, and by the hash of their set where an id has several.
+    ids = need.select("doc_id").distinct()
+    text = docs.join(F.broadcast(ids) if need.count() <= BROADCAST_ROWS else ids, "doc_id", "left_semi")
+    made = shingle_sets(text, size).withColumn("h1", F.xxhash64("s", F.lit(1)))
+    sets = ws.keep(made.dropDuplicates(["doc_id", "h1"]).join(need, ["doc_id", "h1"]).select("c", "s"), f"{name}_s")
+    sa, sb = sets.select(F.col("c").alias("a"), F.col("s").alias("sa")), sets.select(F.col("c").alias("b"), F.col("s").alias("sb"))
     both = F.size(F.array_intersect("sa", "sb"))
-    return ws.keep(pairs.join(sa, "a").join(sb, "b").where(100 * both >= pct * (F.col("na") + F.col("nb") - both)).select("a", "b"), f"{name}_v")
-
-
-def ordered(a: str, b: str) -> list[Column]:
-    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
+    good = pairs.join(sb, "b").join(sa, "a").select("a", "b", both.alias("both"), F.size("sa").alias("na"), F.size("sb").alias("nb"))
+    out = ws.keep(good.where(100 * F.col("both") >= pct * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b"), f"{name}_v")
+    ws.drop(f"{name}_n", f"{name}_s")
+    return out
 
 
 def near_duplicates(docs: DataFrame, pct: int = PCT, size: int = SHINGLE, bands: int = BANDS) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept."""
     ws = Workspace(docs.sparkSession)
     docs = docs.select("doc_id", "text")
+    bits = 2 * bands * WIDTH
     signed = ws.keep(sign(docs, bands, size), "signed")
     own = signed.where("n > 0 and doc_id is not null")
-    reps = ws.keep(own.groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys")), "reps")
-    # Band values that some other class has too; the two ends of a value's range tell without counting.
-    flat = reps.select("rep", F.posexplode("keys").alias("i", "v"))
-    shared = flat.groupBy("i", "v").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi").select("i", "v")
-    live = ws.keep(flat.join(shared, ["i", "v"]).groupBy("rep").agg(F.collect_list(F.struct("i", "v")).alias("kv")), "live")
-    halves = live.select("rep", F.filter("kv", lambda x: x["i"] < bands).alias("x"), F.filter("kv", lambda x: x["i"] >= bands).alias("y"))
-    table = halves.select("rep", F.explode("x").alias("x"), "y").select("rep", "x", F.explode("y").alias("y"))
-    quick = (F.col("y.i") == F.col("x.i") + bands) & (F.col("x.i") < 3)
-    table = table.select("rep", F.xxhash64("x.i", "y.i", "x.v", "y.v").alias("key"), quick.alias("first"))
-    leader = lambda t: t.groupBy("key").agg(F.min_by("rep", F.xxhash64("rep", "key")).alias("lead"))
-    t = table.where("first")
-    links = verified(t.join(leader(t), "key").where("rep <> lead").select(*ordered("rep", "lead")), docs, reps, ws, "one", pct, size)
-    for name in ("two", "three"):
-        comp = components(links, ws, f"comp_{name}")
-        at = table.select("rep", "key").join(comp.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
-        open_ = at.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
-        at = ws.keep(at.join(open_, "key"), f"open_{name}")
-        if name == "two":
-            lead = at.groupBy("key").agg(F.min_by(F.struct("rep", "comp"), F.xxhash64("rep", "key")).alias("lead"))
-            pairs = at.join(lead, "key").where("comp <> lead.comp").select("rep", F.col("lead.rep").alias("lead")).select(*ordered("rep", "lead"))
+    first = own.groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep"), F.first("s1").alias("s1"), F.first("s2").alias("s2"), F.first("keys").alias("keys"))
+    reps = ws.keep(first.withColumn("c", F.monotonically_increasing_id()), "reps")
+    # Ids that stand for several texts link their classes.
+    several = own.groupBy("doc_id").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi")).where("lo < hi").select("doc_id")
+    same = own.join(several, "doc_id").join(reps.select("h1", "h2", "n", "c"), ["h1", "h2", "n"]).select("doc_id", "c")
+    links = same.join(same.groupBy("doc_id").agg(F.min("c").alias("a")), "doc_id").select("a", F.col("c").alias("b"))
+    links = ws.keep(links.where("a <> b"), "links")
+    looks = reps.select("c", "n", "s1", "s2")
+    side = lambda k: looks.select(F.col("c").alias(k), *[F.col(x).alias(f"{x}{k}") for x in ("n", "s1", "s2")])
+    live = reps.select("c", F.posexplode("keys").alias("i", "v"))
+    for r in range(LED + 2):
+        comp = components(links, ws, f"comp{r}")
+        at = live.select("c", "i", "v").join(comp.withColumnRenamed("node", "c"), "c", "left").withColumn("comp", F.coalesce("comp", "c"))
+        at = ws.keep(at, f"at{r}")
+        # Band values of several components; the two ends of a value's range tell without counting.
+        shared = ws.keep(at.groupBy("i", "v").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("i", "v"), f"shared{r}")
+        live = ws.keep(at.join(shared, ["i", "v"]).select("c", "comp", "i", "v"), f"live{r}")
+        ws.drop(f"at{r}", f"shared{r}", f"live{r - 1}")
+        half = live.groupBy("c", "comp").agg(F.collect_list(F.when(F.col("i") < bands, F.struct("i", "v"))).alias("x"), F.collect_list(F.when(F.col("i") >= bands, F.struct("i", "v"))).alias("y"))
+        half = ws.keep(half.where("size(x) > 0 and size(y) > 0"), f"half{r}")
+        table = half.select("c", "comp", F.explode("x").alias("x"), "y").select("c", "comp", "x", F.explode("y").alias("y"))
+        if r == 0:
+            table = table.where((F.col("y.i") == F.col("x.i") + bands) & (F.col("x.i") < QUICK))
+        table = table.select("c", "comp", F.xxhash64("x.i", "y.i", "x.v", "y.v").alias("key"))
+        # Another order of the classes in each round gives another leader.
+        turn = F.lit([0, 0x5555555555555, 0x3333333333333, 0][r])
+        open_ = table.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(F.col("c").bitwiseXOR(turn)).alias("lead"))
+        open_ = ws.keep(open_.where("lo < hi").select("key", F.col("lead").bitwiseXOR(turn).alias("b")), f"open{r}")
+        rows = ws.keep(table.join(open_, "key").select("key", "c", "comp", "b"), f"rows{r}")
+        if r <= LED:
+            pairs = rows.where("c <> b").select(F.col("c").alias("a"), "b").distinct()
         else:
-            most = at.groupBy("key", "comp").count().groupBy("key").agg(F.max_by("comp", F.struct("count", "comp")).alias("most"))
-            minor = at.join(most, "key").where("comp <> most").select("key", F.col("rep").alias("other"), F.col("comp").alias("other_comp"))
-            pairs = at.join(minor, "key").where("comp <> other_comp").select(*ordered("rep", "other"))
-        links = links.union(verified(pairs, docs, reps, ws, name, pct, size))
+            seen = rows.select("key", "comp", F.col("c").alias("a")).join(side("a"), "a")
+            other = rows.select("key", F.col("comp").alias("comp_b"), F.col("c").alias("b")).join(side("b"), "b")
+            seen, other = ws.keep(seen, "seen"), ws.keep(other, "other")
+            pairs = seen.join(other, (seen["key"] == other["key"]) & (F.col("comp") < F.col("comp_b")) & alike("a", "b", bits, pct)).select("a", "b").distinct()
+        to = comp.select(F.col("node").alias("a"), F.col("comp").alias("_a")), comp.select(F.col("node").alias("b"), F.col("comp").alias("_b"))
+        pairs = ws.keep(pairs, f"pairs{r}").join(side("a"), "a").join(side("b"), "b").where(alike("a", "b", bits, pct)).select("a", "b")
+        pairs = pairs.join(to[0], "a", "left").join(to[1], "b", "left").where(F.coalesce("_a", "a") != F.coalesce("_b", "b")).select("a", "b")
+        links = ws.keep(links.union(verified(ws.keep(pairs, f"cand{r}"), docs, reps, ws, f"round{r}", pct, size)), f"links{r}")
+        ws.drop(f"half{r}", f"open{r}", f"rows{r}", f"pairs{r}", f"cand{r}", "seen", "other")
     comp = components(links, ws, "comp_last")
-    classes = reps.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("h1", "h2", "n", F.coalesce("comp", "rep").alias("comp"))
+    classes = reps.join(comp.withColumnRenamed("node", "c"), "c", "left").select("h1", "h2", "n", "rep", F.coalesce("comp", "c").alias("comp"))
+    classes = ws.keep(classes, "classes")
+    least = ws.keep(classes.groupBy("comp").agg(F.min("rep").alias("component_id")), "least")
+    named = ws.keep(classes.join(least, "comp").select("h1", "h2", "n", "component_id"), "named")
     lone = signed.where("n = 0 or doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    out = own.join(classes, ["h1", "h2", "n"]).select("doc_id", F.col("n").alias("n_shingles"), F.col("comp").alias("component_id"))
+    out = own.select("doc_id", "h1", "h2", "n").join(named.hint("merge"), ["h1", "h2", "n"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     return out.union(lone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
