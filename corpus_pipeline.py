@@ -1,9 +1,16 @@
 """The corpus pipeline: five stages, each written as Parquet and read again by the next.
 
-Language ID drops documents it calls ``und``; line dedup takes recurring template lines
-out and drops documents that it leaves without a word; of each near-duplicate group the
-smallest doc_id stays; documents that hold a benchmark item go; the last stage samples
-the rest to target weights.
+Language ID drops documents it calls ``und`` or scores far under the labelled ones, and
+fills a null lang; line dedup takes recurring template lines out and drops documents that
+it leaves without a word; of each near-duplicate group the smallest doc_id stays;
+documents that hold a benchmark item go; the last stage samples the rest to target weights.
+
+Defined results: a null, empty or letterless text goes in the first stage; without labelled
+rows all other documents pass it. Repeated rows share their fate in each stage: those of the
+doc_id that stays all stay, and of a doc_id of several texts all rows go if the id is not the
+smallest of its group. A row with a null doc_id is never a near duplicate. Very long texts
+are whole rows. Extra columns pass all stages but the last, whatever their names. An empty
+table gives empty results.
 """
 
 from __future__ import annotations
@@ -12,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cellmatrix.llm import decontam, langid, mixing, neardup, templates
-from cellmatrix.llm.common import WORD, Workspace
+from cellmatrix.llm.common import BROADCAST_ROWS, WORD, Workspace
 
 #: SQL cannot express the learned and randomised stages.
 ORACLE_SQL = None
@@ -21,9 +28,7 @@ NEAR_PCT, NEAR_WORDS = 80, 5
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    model = langid.fit(docs.where(F.col("lang").isNotNull()))
-    out = langid.predict(docs, model, *[c for c in docs.columns if c != "text"], "text")
-    return out.where("lang_pred <> 'und'").select(*docs.columns)
+    return langid.accepted(docs)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,7 +38,8 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     gone = neardup.near_duplicates(docs, pct=NEAR_PCT, size=NEAR_WORDS).where("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    gone = Workspace(spark).keep(gone, "gone")
+    return docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone, "doc_id", "left_anti").select(*docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
