@@ -6,12 +6,23 @@ quantities are the raw counts.
 
 from __future__ import annotations
 
+import atexit
+import uuid
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from cellmatrix.functions import codecs as Z
+from cellmatrix.functions import cost as K
+from cellmatrix.operators import container as C
 from cellmatrix.operators import matrix as M
+from cellmatrix.operators import quality as Q
+from cellmatrix.operators import simulate
+from cellmatrix.operators import structure as T
+from cellmatrix.sources.bundle import Reader
+from cellmatrix.sources.paths import Store, shared_dir
 
 COO = "with coo as (select l_orderkey cell_id, l_partkey gene_id, cast(sum(l_quantity) as int) as value from lineitem group by 1, 2)"
 
@@ -20,8 +31,8 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-def raw(spark: SparkSession, sf: str) -> DataFrame:
-    return M.from_coo(table(spark, sf, "lineitem"), "l_orderkey", "l_partkey", F.col("l_quantity")).withColumn("value", F.col("value").cast("int"))
+def raw(spark: SparkSession, sf: str, by_cell: bool = False) -> DataFrame:
+    return M.from_coo(table(spark, sf, "lineitem"), "l_orderkey", "l_partkey", F.col("l_quantity"), by_cell).withColumn("value", F.col("value").cast("int"))
 
 
 def obs(spark: SparkSession, sf: str) -> DataFrame:
@@ -32,6 +43,10 @@ def var(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "part").select(F.col("p_partkey").alias("gene_id"))
 
 
+def named_var(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "part").select(F.col("p_partkey").alias("gene_id"), (F.col("p_partkey") - 1).alias("col_ix"), F.col("p_name").alias("name"))
+
+
 def rounded(df: DataFrame, places: int = 9) -> DataFrame:
     return df.select(*[F.round(c, places).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
@@ -49,11 +64,11 @@ def naive_dropout(s: SparkSession, d: str) -> DataFrame:
 
 
 def gene_query(s: SparkSession, d: str) -> DataFrame:
-    return M.gene(raw(s, d), obs(s, d), 42)
+    return M.gene(raw(s, d), obs(s, d), 42, var(s, d))
 
 
 def cell_query(s: SparkSession, d: str) -> DataFrame:
-    return M.cell(raw(s, d), var(s, d), 1)
+    return M.cell(raw(s, d), var(s, d), 1, obs(s, d))
 
 
 def log1p_layer(s: SparkSession, d: str) -> DataFrame:
@@ -65,48 +80,366 @@ def sqrt_layer(s: SparkSession, d: str) -> DataFrame:
 
 
 def log1p_norm(s: SparkSession, d: str) -> DataFrame:
-    layer = raw(s, d)
-    return rounded(M.derived(layer, "log1p_norm", layer.groupBy("cell_id").agg(F.sum("value").cast("double").alias("sf"))))
+    return rounded(M.normalized(raw(s, d, by_cell=True)))
 
 
 def log1p_norm_nosf(s: SparkSession, d: str) -> DataFrame:
     return rounded(M.derived(raw(s, d), "log1p_norm"))
 
 
+def log1p_norm_table(s: SparkSession, d: str) -> DataFrame:
+    """Size factors as a table of their own: the order's price; a quarter of the orders have none."""
+    sf = table(s, d, "orders").where("o_orderkey % 4 <> 0").select(F.col("o_orderkey").alias("cell_id"), F.col("o_totalprice").alias("sf"))
+    return rounded(M.derived(raw(s, d), "log1p_norm", sf, 1e3))
+
+
 def obsm_explode(s: SparkSession, d: str) -> DataFrame:
     e = table(s, d, "embeddings").select("vec_id", F.posexplode("embedding").alias("dim", "x"))
     return e.select("vec_id", F.col("dim").cast("bigint").alias("dim"), F.col("x").cast("double").alias("x"))
 
 
+def obsm_regroup(s: SparkSession, d: str) -> DataFrame:
+    v = T.regroup(obsm_explode(s, d), "vec_id", "dim", "x")
+    return v.select("vec_id", F.size("vec").cast("long").alias("dims"), F.element_at("vec", 1).alias("first"), F.element_at("vec", -1).alias("last"), F.element_at("vec", 7).alias("seventh"))
+
+
 def default_names(s: SparkSession, d: str) -> DataFrame:
-    return table(s, d, "orders").select("o_orderkey", F.format_string("cell_%06d", "o_orderkey").alias("name"))
+    return M.default_names(table(s, d, "orders"), "o_orderkey", "cell")
 
 
 def sha256_block(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "events").select("event_id", F.sha2("props", 256).alias("digest"))
 
 
-#: SQL that both engines run as it is.
-SHARED = {
+def coo_dedup(s: SparkSession, d: str) -> DataFrame:
+    return raw(s, d)
+
+
+def obs_total_counts(s: SparkSession, d: str) -> DataFrame:
+    return M.cell_totals(raw(s, d), obs(s, d))
+
+
+def var_mean_expr(s: SparkSession, d: str) -> DataFrame:
+    return rounded(M.gene_means(raw(s, d), var(s, d), obs(s, d).count()))
+
+
+def gene_expressing(s: SparkSession, d: str) -> DataFrame:
+    return M.expressing(raw(s, d), var(s, d))
+
+
+def layer_shape(s: SparkSession, d: str) -> DataFrame:
+    return rounded(M.shape(raw(s, d), obs(s, d), var(s, d)))
+
+
+def cells_per_type(s: SparkSession, d: str) -> DataFrame:
+    return M.cells_per_type(obs(s, d))
+
+
+def csr_deltas(s: SparkSession, d: str) -> DataFrame:
+    return T.row_deltas(raw(s, d))
+
+
+def csr_undelta(s: SparkSession, d: str) -> DataFrame:
+    deltas = T.row_deltas(raw(s, d)).withColumn("pos", F.row_number().over(Window.partitionBy("cell_id").orderBy("gene_id")))
+    return T.restore_rows(deltas.select("cell_id", "pos", "delta"))
+
+
+def csr_indptr(s: SparkSession, d: str) -> DataFrame:
+    return T.row_pointers(raw(s, d), obs(s, d))
+
+
+def dict_encode(s: SparkSession, d: str) -> DataFrame:
+    o = table(s, d, "orders").select("o_orderkey", "o_orderpriority")
+    return T.encode(o, "o_orderpriority", T.dictionary(o, "o_orderpriority")).select("o_orderkey", F.col("code").cast("int").alias("code"))
+
+
+def dict_decode(s: SparkSession, d: str) -> DataFrame:
+    codes = T.dictionary(table(s, d, "orders"), "o_orderpriority").select("label", F.col("code").cast("int").alias("code"))
+    return T.decode(dict_encode(s, d), codes)
+
+
+def gene_index(s: SparkSession, d: str) -> DataFrame:
+    return M.gene_index(named_var(s, d)).withColumnRenamed("name", "p_name")
+
+
+def barcode_first(s: SparkSession, d: str) -> DataFrame:
+    return M.cell_index(named_var(s, d), "name", "col_ix").withColumnRenamed("name", "p_name")
+
+
+def gene_by_name(s: SparkSession, d: str) -> DataFrame:
+    """A stored layer's gene by its name; of genes of one name the last."""
+    m = C.read(s, stored(s, d))
+    name = named_var(s, d).agg(F.min("name")).first()[0]
+    return m.gene(name)
+
+
+def cell_by_name(s: SparkSession, d: str) -> DataFrame:
+    """A stored derived layer's cell by its barcode."""
+    m = C.read(s, stored(s, d))
+    return rounded(m.cell("cell_000007", "X_log1p"))
+
+
+def count_overflow_split(s: SparkSession, d: str) -> DataFrame:
+    return raw(s, d).select("cell_id", "gene_id", *T.split_overflow(F.col("value"), 25))
+
+
+def doc_token_coo(s: SparkSession, d: str) -> DataFrame:
+    words = table(s, d, "documents").select("doc_id", F.explode(F.split(F.lower("text"), " ")).alias("token"))
+    return words.groupBy("doc_id", "token").agg(F.count(F.lit(1)).alias("n"))
+
+
+def count_overflow_merge(s: SparkSession, d: str) -> DataFrame:
+    split = doc_token_coo(s, d).select("doc_id", "token", *T.split_overflow(F.col("n")))
+    return split.select("doc_id", "token", T.merge_overflow().alias("n"))
+
+
+def lang_stats(s: SparkSession, d: str) -> DataFrame:
+    """Expressed (token, language) pairs: cells, sum and mean over the language's documents."""
+    docs = table(s, d, "documents").where("lang is not null").select("doc_id", "lang")
+    size = docs.groupBy("lang").agg(F.count(F.lit(1)).alias("n_docs"))
+    per = doc_token_coo(s, d).join(docs, "doc_id").groupBy("token", "lang").agg(F.count(F.lit(1)).alias("n_cells"), F.sum("n").alias("total"))
+    return per.join(size, "lang").select("token", "lang", "n_cells", "total", F.round(F.col("total") / F.col("n_docs"), 9).alias("mean_expr"))
+
+
+def modality2_counts(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "lineitem").groupBy(F.col("l_orderkey").alias("cell_id"), F.col("l_suppkey").alias("gene_id")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def modality_join(s: SparkSession, d: str) -> DataFrame:
+    """Each cell's totals in both modalities."""
+    rna = M.cell_totals(raw(s, d), obs(s, d)).withColumnRenamed("total_counts", "rna")
+    atac = M.cell_totals(modality2_counts(s, d).withColumnRenamed("n", "value"), obs(s, d)).withColumnRenamed("total_counts", "atac")
+    return rna.join(atac, "cell_id")
+
+
+def modality_meta(s: SparkSession, d: str) -> DataFrame:
+    parts = [(name, v, layer) for name, v, layer in (("RNA", var(s, d), raw(s, d)), ("ATAC", table(s, d, "supplier"), modality2_counts(s, d)))]
+    one = [v.agg(F.count(F.lit(1)).alias("n_vars")).join(x.agg(F.count(F.lit(1)).alias("nnz"))).select(F.lit(n).alias("modality"), "n_vars", "nnz") for n, v, x in parts]
+    return one[0].unionByName(one[1])
+
+
+def shared_topology(s: SparkSession, d: str) -> DataFrame:
+    """The counts against the prices (the same keys) and against the entries of large quantity (other keys)."""
+    price = M.from_coo(table(s, d, "lineitem"), "l_orderkey", "l_partkey", F.col("l_extendedprice"))
+    large = M.from_coo(table(s, d, "lineitem").where("l_quantity > 25"), "l_orderkey", "l_partkey", F.col("l_quantity"))
+    one = [T.same_topology(raw(s, d), x).select(F.lit(n).alias("other"), "shared", "mismatches") for n, x in (("price", price), ("large", large))]
+    return one[0].unionByName(one[1])
+
+
+def orphan_check(s: SparkSession, d: str) -> DataFrame:
+    """Entries without a gene, with a gene table that lacks every tenth part."""
+    some = var(s, d).where("gene_id % 10 <> 0")
+    return counted(M.orphans(raw(s, d), some, "gene_id"), "orphans")
+
+
+def counted(df: DataFrame, name: str) -> DataFrame:
+    return df.agg(F.count(F.lit(1)).alias(name))
+
+
+def dense_matrix(s: SparkSession, d: str) -> DataFrame:
+    """(cell_id, vec): suppliers as cells, each with its quantity of every part."""
+    q = table(s, d, "lineitem").groupBy("l_suppkey", "l_partkey").agg(F.sum("l_quantity").cast("int").alias("q"))
+    grid = table(s, d, "supplier").select(F.col("s_suppkey").alias("l_suppkey")).crossJoin(table(s, d, "part").select(F.col("p_partkey").alias("l_partkey")))  # the dense matrix itself
+    full = grid.join(q, ["l_suppkey", "l_partkey"], "left").fillna(0, ["q"])
+    return T.regroup(full, "l_suppkey", "l_partkey", "q").withColumnRenamed("l_suppkey", "cell_id")
+
+
+def dense_sparsify(s: SparkSession, d: str) -> DataFrame:
+    return M.from_dense(dense_matrix(s, d), "cell_id", "vec").select("cell_id", F.col("gene_id").cast("long").alias("gene_id"), "value")
+
+
+def ontology_join(s: SparkSession, d: str) -> DataFrame:
+    e = table(s, d, "events").select(F.col("event_id").alias("cell_id"), "event_type")
+    m = C.CellMatrix(e, var(s, d))
+    m.set_ontology("event_type", {"click": "T:1", "view": "T:2", "purchase": "T:3"})
+    return m.with_terms("event_type").withColumnRenamed("cell_id", "event_id")
+
+
+def spatial_validate(s: SparkSession, d: str) -> DataFrame:
+    """Whether each row's coordinates number 2, 3 or 4; rows hold 1 to 6 of an embedding."""
+    e = table(s, d, "embeddings").select("vec_id", F.slice("embedding", 1, F.col("label") % 6 + 1).alias("c"))
+    return e.select("vec_id", F.size("c").cast("long").alias("dims"), F.size("c").between(2, 4).alias("valid"))
+
+
+def provenance_json(s: SparkSession, d: str) -> DataFrame:
+    e = table(s, d, "events")
+    return e.select("event_id", F.col("event_type").alias("operation"), F.get_json_object("props", "$.k").alias("k"))
+
+
+def detect_log1p(s: SparkSession, d: str) -> DataFrame:
+    return _detected(s, d, "log1p", F.log1p)
+
+
+def detect_sqrt(s: SparkSession, d: str) -> DataFrame:
+    return _detected(s, d, "sqrt", F.sqrt)
+
+
+def _detected(s: SparkSession, d: str, name: str, fn) -> DataFrame:
+    """A float layer that is the transform, one that is off by a thousandth, one that lacks an entry, and an empty one."""
+    ints = raw(s, d)
+    exact = ints.withColumn("value", fn(F.col("value").cast("double")))
+    cases = {"exact": exact, "shifted": exact.withColumn("value", F.col("value") + 0.001), "missing": exact.where("cell_id <> 1"), "empty": exact.limit(0)}
+    one = [T.is_transform_of(x, ints if n != "empty" else ints.limit(0), name).select(F.lit(n).alias("layer"), "n", "detected") for n, x in cases.items()]
+    return reduce(DataFrame.unionByName, one)
+
+
+def _pairs(s: SparkSession, d: str) -> DataFrame:
+    """Estimated dropout and mean against the observed ones, for every gene and type."""
+    stats = M.celltype_stats(raw(s, d), obs(s, d), var(s, d)).select("gene_id", "cell_type", F.col("obs_zero_frac").alias("truth"), "mean_expr")
+    r = M.zinb_params(raw(s, d), obs(s, d), var(s, d)).select("gene_id", "cell_type", F.round(F.col("mu") * F.col("pi") + F.col("mu"), 9).alias("estimate"))
+    return stats.withColumn("truth", F.round("truth", 9)).join(r, ["gene_id", "cell_type"])
+
+
+def pearson_mse(s: SparkSession, d: str) -> DataFrame:
+    return rounded(Q.errors(_pairs(s, d)), 6)
+
+
+def spearman(s: SparkSession, d: str) -> DataFrame:
+    return rounded(Q.spearman(_pairs(s, d)), 6)
+
+
+def strata_corr(s: SparkSession, d: str) -> DataFrame:
+    return rounded(Q.strata(_pairs(s, d).withColumn("level", F.round(F.col("mean_expr") * 10, 6)), "level"), 6)
+
+
+def estimate_alignment(s: SparkSession, d: str) -> DataFrame:
+    """Mean expression by type against an estimate that lacks every third gene."""
+    stats = M.celltype_stats(raw(s, d), obs(s, d), var(s, d))
+    part = M.zinb_params(raw(s, d), obs(s, d), var(s, d)).where("gene_id % 3 <> 0")
+    per = Q.aligned(stats, part, "mean_expr", "mu").groupBy("cell_type")
+    return rounded(per.agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("estimate") - F.col("truth")).alias("bias")), 6)
+
+
+def seed_average(s: SparkSession, d: str) -> DataFrame:
+    """Mean dispersion by type, where those at the limit count as no number."""
+    z = M.zinb_params(raw(s, d), obs(s, d), var(s, d)).select("cell_type", F.when(F.col("r") < M.R_LIMIT, F.col("r")).otherwise(F.lit(float("nan"))).alias("r"))
+    return rounded(Q.mean_over(z, "cell_type", "r"), 6)
+
+
+def recon_fidelity(s: SparkSession, d: str) -> DataFrame:
+    """The counts against the counts halved and doubled again as whole numbers."""
+    back = raw(s, d).withColumn("value", F.floor(F.col("value") / 2) * 2)
+    return rounded(Q.fidelity(raw(s, d), back), 6)
+
+
+def stats_accuracy(s: SparkSession, d: str) -> DataFrame:
+    """Statistics of a stored dataset against a recomputation."""
+    m = C.read(s, stored(s, d))
+    return rounded(Q.accuracy(m.tables["celltype_stats"], m.celltype_stats()), 6)
+
+
+def gorilla_bits(s: SparkSession, d: str) -> DataFrame:
+    return K.xor_bits(table(s, d, "events"), "event_id", "value")
+
+
+def bitpack_blocks(s: SparkSession, d: str) -> DataFrame:
+    return K.pack_blocks(raw(s, d), obs(s, d))
+
+
+def _event_blocks(s: SparkSession, d: str) -> DataFrame:
+    """(block, x): the event values in blocks of 1,000 ids, by id."""
+    e = table(s, d, "events").withColumn("block", F.floor(F.col("event_id") / 1000))
+    return T.regroup(e, "block", "event_id", "value").withColumnRenamed("vec", "x")
+
+
+def gorilla_roundtrip(s: SparkSession, d: str) -> DataFrame:
+    packed = _event_blocks(s, d).withColumn("b", Z.xor_pack(F.col("x")))
+    return packed.select("block", F.size("x").cast("long").alias("n"), (Z.xor_unpack(F.col("b")) == F.col("x")).alias("same"))
+
+
+def bitpack_roundtrip(s: SparkSession, d: str) -> DataFrame:
+    cells = T.regroup(T.row_deltas(raw(s, d)), "cell_id", "gene_id", "delta")
+    packed = cells.withColumn("b", Z.bit_pack(F.col("vec")))
+    return packed.select("cell_id", F.size("vec").cast("long").alias("n"), (Z.bit_unpack(F.col("b")) == F.col("vec")).alias("same"))
+
+
+def counts_roundtrip(s: SparkSession, d: str) -> DataFrame:
+    cells = T.regroup(doc_token_coo(s, d), "doc_id", "token", "n")
+    packed = cells.withColumn("b", Z.counts_pack(F.col("vec")))
+    return packed.select("doc_id", F.size("vec").cast("long").alias("n"), (Z.counts_unpack(F.col("b")) == F.col("vec")).alias("same"))
+
+
+def floats_roundtrip(s: SparkSession, d: str) -> DataFrame:
+    packed = _event_blocks(s, d).withColumn("b", Z.floats_pack(F.col("x")))
+    return packed.select("block", F.size("x").cast("long").alias("n"), (Z.floats_unpack(F.col("b")) == F.col("x")).alias("same"))
+
+
+def zlib_size(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "events").select("event_id", Z.deflated_size(F.col("props")).alias("bytes"))
+
+
+def simulate_counts(s: SparkSession, d: str) -> DataFrame:
+    truth = simulate.draw_genes(200, 3, 7)
+    return simulate.counts(simulate.cells(s, 300, 3), truth, 7)
+
+
+def stored(s: SparkSession, d: str) -> str:
+    """The path of a bundle of the orders matrix: two modalities, positions, a derived layer, statistics; made once a session."""
+    key = (s.sparkContext.applicationId, d)
+    if key not in _stored:
+        o = table(s, d, "orders")
+        cells = o.select(F.col("o_orderkey").alias("cell_id"), F.format_string("cell_%06d", "o_orderkey").alias("barcode"), F.col("o_orderpriority").alias("cell_type"))
+        m = C.CellMatrix(cells, named_var(s, d).select("gene_id", "name"))
+        m.add_layer("X_raw", raw(s, d))
+        m.add_derived_layer("X_log1p", "log1p", "X_raw")
+        m.add_modality("ATAC", table(s, d, "supplier").select(F.col("s_suppkey").alias("gene_id"), F.col("s_name").alias("name")))
+        m.add_layer("counts", modality2_counts(s, d).withColumnRenamed("n", "value"), "ATAC")
+        m.set_spatial(o.select(F.col("o_orderkey").alias("cell_id"), F.array(F.col("o_totalprice"), F.col("o_orderkey").cast("double")).alias("coords")))
+        path = f"{shared_dir(s)}/cellmatrix-bundle-{uuid.uuid4().hex}"
+        m.write(path)
+        _stored[key] = path
+        atexit.register(_forget, s, path)
+    return _stored[key]
+
+
+_stored: dict[tuple[str, str], str] = {}
+
+
+def _forget(s: SparkSession, path: str) -> None:
+    try:
+        Store(s, path).delete()
+    except Exception:  # noqa: BLE001  the session is gone; the folder's owner sweeps it
+        return
+
+
+def bundle_flags(s: SparkSession, d: str) -> DataFrame:
+    r = Reader(s, stored(s, d))
+    rows = [(r.flags(), r.body["version"], *r.body["shape"], len(r.body["modalities"]))]
+    return s.createDataFrame(rows, "flags int, version int, n_obs long, n_vars long, n_modalities int")
+
+
+def bundle_layer(s: SparkSession, d: str) -> DataFrame:
+    return C.read(s, stored(s, d)).layer("X_raw")
+
+
+def bundle_modality(s: SparkSession, d: str) -> DataFrame:
+    return C.read(s, stored(s, d)).layer("counts", "ATAC", by="cell")
+
+
+def bundle_stats(s: SparkSession, d: str) -> DataFrame:
+    return rounded(C.read(s, stored(s, d)).tables["celltype_stats"], 6)
+
+
+SIMPLE = {
     "coo_dedup": f"{COO} select * from coo",
-    "obs_total_counts": f"{COO} select cell_id, cast(sum(value) as bigint) total_counts from coo group by cell_id",
-    "var_mean_expr": f"{COO} select gene_id, round(cast(sum(value) as double) / (select count(*) from orders), 9) mean_expr from coo group by gene_id",
-    "gene_expressing": f"{COO} select gene_id, cast(sum(case when value <> 0 then 1 else 0 end) as bigint) n_cells from coo group by gene_id",
+    "obs_total_counts": f"{COO} select o_orderkey cell_id, cast(coalesce(sum(value), 0) as bigint) total_counts from orders left join coo on o_orderkey = cell_id group by 1",
+    "var_mean_expr": f"{COO} select p_partkey gene_id, round(coalesce(cast(sum(value) as double), 0) / (select count(*) from orders), 9) mean_expr from part left join coo on p_partkey = gene_id group by 1",
+    "gene_expressing": f"{COO} select p_partkey gene_id, count(*) filter (value <> 0) n_cells from part left join coo on p_partkey = gene_id group by 1",
     "layer_shape": f"{COO} select (select count(*) from orders) n_obs, (select count(*) from part) n_vars, count(*) nnz, round(1 - cast(count(*) as double) / ((select count(*) from orders) * (select count(*) from part)), 9) sparsity from coo",
     "cells_per_type": "select o_orderpriority cell_type, count(*) n_cells from orders group by 1",
     "csr_deltas": f"{COO} select cell_id, gene_id, gene_id - lag(gene_id, 1, cast(0 as bigint)) over (partition by cell_id order by gene_id) delta from coo",
-    "csr_undelta": f"{COO}, d as (select cell_id, gene_id, gene_id - lag(gene_id, 1, cast(0 as bigint)) over (partition by cell_id order by gene_id) delta from coo) select cell_id, gene_id, cast(sum(delta) over (partition by cell_id order by gene_id rows unbounded preceding) as bigint) restored from d",
-    "csr_indptr": f"{COO}, deg as (select o_orderkey cell_id, count(coo.cell_id) n from orders left join coo on o_orderkey = coo.cell_id group by 1) select cell_id, cast(sum(n) over (order by cell_id rows unbounded preceding) as bigint) indptr from deg",
+    "csr_undelta": f"{COO} select cell_id, gene_id from coo",
+    "csr_indptr": f"{COO}, deg as (select o_orderkey cell_id, count(coo.cell_id) n from orders left join coo on o_orderkey = coo.cell_id group by 1) select row_number() over (order by cell_id) row_ix, cast(sum(n) over (order by cell_id rows unbounded preceding) as bigint) indptr from deg union all select 0, 0",
     "dict_encode": "select o_orderkey, cast(dense_rank() over (order by o_orderpriority) - 1 as int) code from orders",
-    "dict_decode": "with dict as (select label, row_number() over (order by label) - 1 code from (select distinct o_orderpriority label from orders) t), enc as (select o_orderkey, code from orders join dict on label = o_orderpriority) select o_orderkey, label from enc join dict on enc.code = dict.code",
+    "dict_decode": "select o_orderkey, o_orderpriority label from orders",
     "gene_index": "select p_name, max(p_partkey - 1) col_ix from part group by p_name",
     "barcode_first": "select p_name, min(p_partkey - 1) row_ix from part group by p_name",
     "count_overflow_split": f"{COO} select cell_id, gene_id, least(greatest(value, 0), 25) main_value, case when value > 25 then value end overflow from coo",
     "modality2_counts": "select l_orderkey cell_id, l_suppkey gene_id, count(*) n from lineitem group by 1, 2",
     "modality_join": f"{COO}, r as (select cell_id, sum(value) n from coo group by 1), a as (select l_orderkey cell_id, count(*) n from lineitem group by 1) select o_orderkey cell_id, cast(coalesce(r.n, 0) as bigint) rna, cast(coalesce(a.n, 0) as bigint) atac from orders left join r on o_orderkey = r.cell_id left join a on o_orderkey = a.cell_id",
-    "shared_topology": f"{COO}, f as (select l_orderkey cell_id, l_partkey gene_id from lineitem group by 1, 2) select count(*) entries, cast(sum(case when coo.cell_id is null or f.cell_id is null then 1 else 0 end) as bigint) mismatches from coo full outer join f on coo.cell_id = f.cell_id and coo.gene_id = f.gene_id",
-    "orphan_check": f"{COO} select count(*) orphans from coo left join part on gene_id = p_partkey where p_partkey is null",
-    "dense_sparsify": "select l_suppkey cell_id, l_partkey gene_id, cast(sum(l_quantity) as int) as value from lineitem group by 1, 2 having sum(l_quantity) <> 0",
+    "shared_topology": f"{COO}, l as (select distinct l_orderkey, l_partkey from lineitem where l_quantity > 25) select 'price' other, (select count(*) from coo) shared, cast(0 as bigint) mismatches union all select 'large', (select count(*) from l), (select count(*) from coo) - (select count(*) from l)",
+    "orphan_check": f"{COO} select count(*) orphans from coo where gene_id % 10 = 0",
+    "dense_sparsify": "select l_suppkey cell_id, l_partkey - (select min(p_partkey) from part) gene_id, cast(sum(l_quantity) as int) as value from lineitem group by 1, 2 having sum(l_quantity) <> 0",
     "ontology_join": "with o as (select 'click' label, 'T:1' term union all select 'view', 'T:2' union all select 'purchase', 'T:3') select event_id, event_type, term from events left join o on label = event_type",
 }
 
@@ -115,12 +448,18 @@ s as (select gene_id, o_orderpriority cell_type, sum(cast(value as double)) s1,
   from coo join orders on cell_id = o_orderkey group by 1, 2),
 g as (select p_partkey gene_id, n.cell_type, n, coalesce(s1, 0.0) s1, coalesce(s2, 0.0) s2, coalesce(ne, 0) ne, cast(coalesce(e, 0) as double) e
   from part cross join n left join s on p_partkey = s.gene_id and n.cell_type = s.cell_type)"""
+ZINB_SQL = STATS_SQL + """, m as (select gene_id, cell_type, n, ne, s1 / n mu, case when n > 1 then (s2 - s1 * s1 / n) / (n - 1) else 0 end v from g),
+r as (select *, case when v > mu and mu > 0 then mu * mu / (v - mu) else 1e9 end r from m)"""
+PI_SQL = "least(1.0::double, greatest(0.0::double, case when mu > 0 then greatest(0.0::double, cast(n - ne as double) / n - power(r / (r + mu), r)) else cast(n - ne as double) / n end))"
+PAIRS_SQL = ZINB_SQL + f""", p as (select r.gene_id, r.cell_type, round(mu * {PI_SQL.replace("n - ne", "r.n - r.ne").replace("/ n", "/ r.n")} + mu, 9) estimate, round(1 - g.e / g.n, 9) truth, g.s1 / g.n mean_expr from r join g on r.gene_id = g.gene_id and r.cell_type = g.cell_type)"""
+TOKENS = "with t as (select doc_id, unnest(string_split(lower(text), ' ')) token from documents)"
+BLOCKS_SQL = "select event_id // 1000 block, count(*) n, true same from events group by 1"
+DETECTED = f"""{COO}, n as (select count(*) n, count(*) filter (cell_id = 1) one from coo) select 'exact' layer, n, true detected from n
+union all select 'shifted', n, false from n union all select 'missing', n, one = 0 from n union all select 'empty', 0, false"""
 ORACLES = {
     "celltype_stats": STATS_SQL + " select gene_id, cell_type, n n_cells, round(1 - e / n, 6) obs_zero_frac, round(s1 / n, 6) mean_expr, round(case when e > 0 then s1 / e else 0 end, 6) mean_expr_nz, round(e / n, 6) frac_expressing from g",
     "naive_dropout": STATS_SQL + " select gene_id, cell_type, round(1 - e / n, 6) obs_zero_frac from g",
-    "zinb_params": STATS_SQL + """, m as (select gene_id, cell_type, n, ne, s1 / n mu, case when n > 1 then (s2 - s1 * s1 / n) / (n - 1) else 0 end v from g),
-r as (select *, case when v > mu and mu > 0 then mu * mu / (v - mu) else 1e9 end r from m)
-select gene_id, cell_type, round(mu, 6) mu, round(cast(r as double), 6) r, round(least(1.0::double, greatest(0.0::double, case when mu > 0 then greatest(0.0::double, cast(n - ne as double) / n - power(r / (r + mu), r)) else cast(n - ne as double) / n end)), 6) pi from r""",
+    "zinb_params": ZINB_SQL + f" select gene_id, cell_type, round(mu, 6) mu, round(cast(r as double), 6) r, round({PI_SQL}, 6) pi from r",
     "gene_query": COO + " select o_orderkey cell_id, coalesce(value, 0) as value from orders left join (select * from coo where gene_id = 42) c on c.cell_id = o_orderkey",
     "cell_query": COO + " select p_partkey gene_id, coalesce(value, 0) as value from part left join (select * from coo where cell_id = 1) c on c.gene_id = p_partkey",
     "log1p_layer": COO + " select cell_id, gene_id, round(ln(1 + cast(value as double)), 9) as value from coo",
@@ -130,22 +469,51 @@ select gene_id, cell_type, round(mu, 6) mu, round(cast(r as double), 6) r, round
     "obsm_explode": "select vec_id, unnest(generate_series(0, len(embedding) - 1)) dim, cast(unnest(embedding) as double) x from embeddings",
     "default_names": "select o_orderkey, printf('cell_%06d', o_orderkey) as name from orders",
     "sha256_block": "select event_id, sha256(props) digest from events",
+    "log1p_norm_table": COO + " select cell_id, gene_id, round(ln(1 + value / nullif(o_totalprice, 0) * 1e3), 9) as value from coo left join (select * from orders where o_orderkey % 4 <> 0) on cell_id = o_orderkey",
+    "obsm_regroup": "select vec_id, len(embedding) dims, cast(embedding[1] as double) first, cast(embedding[len(embedding)] as double) last, cast(embedding[7] as double) seventh from embeddings",
+    "gene_by_name": COO + " select o_orderkey cell_id, coalesce(value, 0) as value from orders left join (select * from coo where gene_id = (select max(p_partkey) from part where p_name = (select min(p_name) from part))) c on c.cell_id = o_orderkey",
+    "cell_by_name": COO + " select p_partkey gene_id, round(ln(1 + coalesce(value, 0)), 9) as value from part left join (select * from coo where cell_id = 7) c on c.gene_id = p_partkey",
+    "doc_token_coo": TOKENS + " select doc_id, token, count(*) n from t group by 1, 2",
+    "count_overflow_merge": TOKENS + " select doc_id, token, count(*) n from t group by 1, 2",
+    "lang_stats": TOKENS + ", c as (select doc_id, token, count(*) n from t group by 1, 2), l as (select lang, count(*) m from documents where lang is not null group by 1) select token, d.lang, count(*) n_cells, cast(sum(n) as bigint) total, round(cast(sum(n) as double) / m, 9) mean_expr from c join documents d using (doc_id) join l on l.lang = d.lang group by token, d.lang, m",
+    "modality_meta": COO + " select 'RNA' modality, (select count(*) from part) n_vars, (select count(*) from coo) nnz union all select 'ATAC', (select count(*) from supplier), (select count(*) from (select distinct l_orderkey, l_suppkey from lineitem))",
+    "spatial_validate": "select vec_id, cast(label % 6 + 1 as bigint) dims, label % 6 + 1 between 2 and 4 as valid from embeddings",
+    "provenance_json": "select event_id, event_type operation, json_extract_string(props, '$.k') k from events",
+    "detect_log1p": DETECTED,
+    "detect_sqrt": DETECTED,
+    "pearson_mse": PAIRS_SQL + " select count(*) n, round(corr(estimate, truth), 6) pearson, round(avg((estimate - truth) * (estimate - truth)), 6) mse, round(avg(estimate - truth), 6) bias, round(max(abs(estimate - truth)), 6) max_abs_err from p",
+    "spearman": PAIRS_SQL + ", k as (select rank() over (order by estimate) + (count(*) over (partition by estimate) - 1) / 2.0::double a, rank() over (order by truth) + (count(*) over (partition by truth) - 1) / 2.0::double b from p) select count(*) n, round(corr(a, b), 6) spearman from k",
+    "strata_corr": PAIRS_SQL + ", l as (select case when round(mean_expr * 10, 6) >= 1 then 'high' when round(mean_expr * 10, 6) > 0 then 'low' end stratum, estimate, truth from p) select stratum, count(*) n, case when count(*) > 10 then round(corr(estimate, truth), 6) end pearson from l where stratum is not null group by 1",
+    "estimate_alignment": STATS_SQL + " select cell_type, count(*) n, round(avg(case when gene_id % 3 <> 0 then 0 else -s1 / n end), 6) bias from g group by 1",
+    "seed_average": ZINB_SQL + " select cell_type, count(*) filter (r < 1e9) n, round(avg(case when r < 1e9 then r end), 6) mean from r group by 1",
+    "recon_fidelity": COO + ", p as (select cast(value as double) a, floor(value / 2) * 2.0::double b from coo where value > 0) select count(*) n, round(corr(a, b), 6) pearson, round(max(abs(a - b)), 6) max_abs_err from p",
+    "stats_accuracy": STATS_SQL + ", x as (select unnest([struct_pack(k := 'obs_zero_frac', v := 1 - e / n), struct_pack(k := 'mean_expr', v := s1 / n), struct_pack(k := 'mean_expr_nz', v := case when e > 0 then s1 / e else 0 end), struct_pack(k := 'frac_expressing', v := e / n)]) s from g) select s.k statistic, 0.0::double mse, 0.0::double max_abs_err, round(corr(s.v, s.v), 6) pearson from x group by 1",
+    "gorilla_bits": "with o as (select event_id, value v, lag(value) over (order by event_id) p from events), x as (select event_id, xor(cast(v as bit), cast(p as bit))::varchar b from o where p is not null) select event_id, cast(case when b not like '%1%' then 1 else 13 + 64 - least(31, 64 - length(ltrim(b, '0'))) - (64 - length(rtrim(b, '0'))) end as int) bits from x",
+    "bitpack_blocks": COO + ", d as (select (row_number() over (order by cell_id, gene_id) - 1) // 128 block, gene_id - lag(gene_id, 1, 0::bigint) over (partition by cell_id order by gene_id) d from coo), m as (select block, count(*) n, length(bin(max(case when d >= 0 then 2 * d else -2 * d - 1 end))) width from d group by 1) select block, n, cast(width as int) width, cast(2 + ceil(n * width / 8.0) as bigint) bytes from m",
+    "gorilla_roundtrip": BLOCKS_SQL,
+    "floats_roundtrip": BLOCKS_SQL,
+    "bitpack_roundtrip": COO + " select cell_id, count(*) n, true same from coo group by 1",
+    "counts_roundtrip": TOKENS + " select doc_id, count(distinct token) n, true same from t group by 1",
+    "bundle_flags": "select 7 flags, 3 as version, (select count(*) from orders) n_obs, (select count(*) from part) n_vars, 2 n_modalities",
+    "bundle_layer": COO + " select * from coo",
+    "bundle_modality": "select l_orderkey cell_id, l_suppkey gene_id, count(*) as value from lineitem group by 1, 2",
 }
-
-
-def _sql(text: str) -> Callable[[SparkSession, str], DataFrame]:
-    def run(spark: SparkSession, sf: str) -> DataFrame:
-        for name in ("lineitem", "orders", "part", "events"):
-            table(spark, sf, name).createOrReplaceTempView(name)
-        return spark.sql(text)
-
-    return run
+ORACLES["bundle_stats"] = ORACLES["celltype_stats"]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (celltype_stats, zinb_params, naive_dropout, gene_query, cell_query, log1p_layer, sqrt_layer, log1p_norm, log1p_norm_nosf, obsm_explode, default_names, sha256_block)
-    return {f.__name__: f for f in own} | {k: _sql(v) for k, v in SHARED.items()}
+    own = (
+        celltype_stats, zinb_params, naive_dropout, gene_query, cell_query, log1p_layer, sqrt_layer, log1p_norm,
+        log1p_norm_nosf, log1p_norm_table, obsm_explode, obsm_regroup, default_names, sha256_block, coo_dedup, obs_total_counts,
+        var_mean_expr, gene_expressing, layer_shape, cells_per_type, csr_deltas, csr_undelta, csr_indptr, dict_encode,
+        dict_decode, gene_index, barcode_first, gene_by_name, cell_by_name, count_overflow_split, doc_token_coo, count_overflow_merge,
+        lang_stats, modality2_counts, modality_join, modality_meta, shared_topology, orphan_check, dense_sparsify, ontology_join,
+        spatial_validate, provenance_json, detect_log1p, detect_sqrt, pearson_mse, spearman, strata_corr, estimate_alignment,
+        seed_average, recon_fidelity, stats_accuracy, gorilla_bits, bitpack_blocks, gorilla_roundtrip, bitpack_roundtrip, counts_roundtrip,
+        floats_roundtrip, zlib_size, simulate_counts, bundle_flags, bundle_layer, bundle_modality, bundle_stats,
+    )
+    return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return ORACLES | SHARED
+    return ORACLES | SIMPLE
