@@ -120,16 +120,19 @@ def read(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
     last = F.max(F.when(F.col("real"), F.struct("at", "k"))).over(_upto("file", "at"))
     owners = marked.join(files, "file", "left_semi").select("k", "at", "real", last["k"].alias("owner")).where("real is null").select("k", "at", "owner")
     owners = ws.keep(owners, "owners")
-    tails = pieces.join(owners, "k").groupBy(F.col("owner").alias("k")).agg(F.array_sort(F.collect_list(F.struct("at", "piece"))).alias("rest"))
+    n = owners.count()
+    # Pieces are dealt by key only where the false ones are too many to broadcast.
+    tails = join_small(pieces, owners, "k", n, "inner").groupBy(F.col("owner").alias("k")).agg(F.array_sort(F.collect_list(F.struct("at", "piece"))).alias("rest"))
     tails = ws.keep(tails, "tails")
     # A piece is a record as it stands unless it is before the first magic, false, or has false ones after it.
-    odd = owners.select("k", F.lit(0).alias("as")).union(tails.select("k", F.lit(1).alias("as"))).union(cand.where("at < 0").select("k", F.lit(0).alias("as")))
+    odd = owners.select("k", F.lit(False).alias("starts")).union(tails.select("k", F.lit(True))).union(cand.where("at < 0").select("k", F.lit(False)))
     odd = ws.keep(odd, "odd")
     told = join_small(pieces.select("k", "piece"), odd, "k", odd.count())
-    plain = told.where("as is null").select("piece")
-    cut = pieces.join(tails, "k").select(F.concat("piece", F.array_join(F.transform("rest", lambda x: F.concat(F.lit(MAGIC), x["piece"])), "")).alias("piece"))
+    plain = told.where("starts is null").select("k", "piece")
+    # The records that were cut: their first piece and the others.
+    cut = told.where("starts").select("k", "piece").join(tails, "k").select("k", F.concat("piece", F.array_join(F.transform("rest", lambda x: F.concat(F.lit(MAGIC), x["piece"])), "")).alias("piece"))
     ws.drop("candidates", "marked")
-    recs = plain.union(cut).withColumn("head", F.substring_index("piece", END, 1))
+    recs = (plain.union(cut) if n else plain).withColumn("head", F.substring_index("piece", END, 1))
     piece = F.col("piece").cast("binary")
     size = header("Content-Length").cast("int")
     recs = recs.select("head", F.substring(piece, F.octet_length("head") + len(END) + 1, size).alias("block"))
