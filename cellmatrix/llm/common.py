@@ -54,10 +54,12 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def local_path(uri: str) -> str:
-    """A path that ``open`` takes, of a file: URI or plain path."""
+    """A path that ``open`` takes, of a file: URI or plain path; ValueError for any other store."""
     for head in ("file://", "file:"):
         if uri.startswith(head):
             return uri[len(head) :]
+    if ":" in uri.split("/", 1)[0]:
+        raise ValueError(f"{uri} cannot be opened as a file; spark.checkpoint.dir must be a folder that all machines mount")
     return uri
 
 
