@@ -2,8 +2,8 @@
 
 A window is a 50-byte string inside one document. Sorting every suffix of the corpus would
 move each byte many times over, so windows that cannot repeat are set aside first, without
-loss: the least of a window's 24-byte hashes depends on the window alone, so equal windows
-have equal anchors, and a window whose anchor no other document has repeats nowhere. The
+loss. A text that equals one of a smaller doc_id goes whole. The least of a window's 24-byte
+hashes depends on the window alone, so equal windows have equal anchors, and a window whose anchor no other document has repeats nowhere. The
 others are cut into snippets (neighbouring windows with one anchor, at most RUN of them);
 equal snippets become one with its smallest doc_id. Snippets are dealt by anchor, and each
 group is sorted by the difference-cover algorithm: triples at two of three places are
@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, ship
+from .common import Workspace, join_small, making, ship
 
 ship(__name__)
 
@@ -259,20 +259,32 @@ def dedup(docs: DataFrame, text: str = "text", per_partition: int = DEALT) -> Da
     ws = Workspace(spark)
     groups = per_partition * int(spark.conf.get("spark.sql.shuffle.partitions"))
     kind = dict(docs.dtypes)["doc_id"]
+    same = F.struct(F.xxhash64("b").alias("x"), F.xxhash64(F.lit(7), "b").alias("y"), F.length("b").alias("n"))
     texts = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("d"), as_bytes(text).alias("b"))
-    long = texts.where(F.length("b") >= WINDOW).select("d", "b")
-    shared = ws.keep(shared_anchors(long, groups), "shared")
-    found = ws.keep(snippets(long, shared), "snippets")
-    least = ws.keep(repeated_windows(found, groups), "least")
-    hits = found.select("d", "at", *named()).join(least, ["k1", "k2"])
-    gone = F.filter(F.transform("least", lambda m, i: F.when(m < F.col("d"), F.col("at") + i)), lambda p: p.isNotNull())
-    gone = hits.select("d", gone.alias("p")).where("size(p) > 0").groupBy("d").agg(F.flatten(F.collect_set("p")).alias("p"))
+    # A text that a smaller document equals goes whole, and need not be searched.
+    copies = texts.where(F.length("b") >= WINDOW).select("d", same.alias("same")).groupBy("same").agg(F.min("d").alias("least"), F.max("d").alias("most"))
+    copies = ws.keep(copies.where("least < most").select("same", "least"), "copies")
+    n = copies.count()
+    texts = join_small(texts.withColumn("same", same), copies, "same", n).select("doc_id", "d", "b", F.coalesce(F.col("d") > F.col("least"), F.lit(False)).alias("whole"))
+    with making(spark):
+        long = texts.where((F.length("b") >= WINDOW) & ~F.col("whole")).select("d", "b")
+        shared = ws.keep(shared_anchors(long, groups), "shared")
+        found = ws.keep(snippets(long, shared), "snippets")
+        ws.drop("shared")
+        least = ws.keep(repeated_windows(found, groups), "least")
+        hits = found.select("d", "at", *named()).join(least, ["k1", "k2"])
+        gone = F.filter(F.transform("least", lambda m, i: F.when(m < F.col("d"), F.col("at") + i)), lambda p: p.isNotNull())
+        gone = ws.keep(hits.select("d", gone.alias("p")).where("size(p) > 0").groupBy("d").agg(F.flatten(F.collect_set("p")).alias("p")), "gone")
+        ws.drop("snippets", "least")
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
-            for x, p in zip(b.column(1), b.column(2), strict=True):
+            for x, p, whole in zip(b.column(1), b.column(2), b.column(3).to_pylist(), strict=True):
                 raw = x.as_py()
+                if whole:
+                    rows.append((len(raw), 1, b"", hashlib.sha256().hexdigest(), len(raw)))
+                    continue
                 if not p.is_valid:
                     rows.append((0, 0, raw, hashlib.sha256(raw).hexdigest(), len(raw)))
                     continue
@@ -285,5 +297,5 @@ def dedup(docs: DataFrame, text: str = "text", per_partition: int = DEALT) -> Da
                 names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256"],
             )
 
-    both = texts.join(gone, "d", "left").select("doc_id", "b", "p")
+    both = texts.join(gone, "d", "left").select("doc_id", "b", "p", "whole")
     return both.mapInArrow(remove, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string")
