@@ -47,3 +47,52 @@ def test_no_topic_holds_most_long_texts(spark):
         best[i] = {x for x, v in z.items() if v > max(z.values()) - 1e-9}
     bucket = {r["w"]: r["b"] for r in spark.createDataFrame([(x,) for x in set.union(*best.values())], "w string").selectExpr("w", f"cast(pmod(xxhash64(w), {mixing.TOPICS}) as int) b").collect()}
     assert all(got[i][0] in ({bucket[x] for x in b} or {-1}) for i, b in best.items())
+
+
+def table(spark, n=400):
+    rng = random.Random(3)
+    rows = [(k, " ".join(rng.choices([f"w{i}" for i in range(300)], k=rng.randint(1, 80))), rng.choice(["en", "de", None]), rng.choice(["a", "a", "a", "b", None]), 0.5, "x") for k in range(n)]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, weight double, _topic string")
+
+
+def test_weights_meet_the_marginals(spark):
+    """Raked weights against plain iterative fitting; probabilities give the budget; columns of clashing names."""
+    out = mixing.mix(table(spark), fraction=0.3, tolerance=1e-9)
+    assert out.columns == ["doc_id", "text", "lang", "source", "_topic", "topic", "n_tokens", "weight", "prob", "selected"]
+    rows = out.collect()
+    assert len(rows) == 400 and all(0 <= r["prob"] <= 1 and r["selected"] in (True, False) for r in rows)
+    cells = collections.Counter()
+    for r in rows:
+        cells[r["source"], r["lang"], r["topic"]] += r["n_tokens"]
+    total = sum(cells.values())
+    goals = []
+    for i in range(3):
+        t = collections.Counter()
+        for k, v in cells.items():
+            t[k[i]] += v
+        part = sum(v**mixing.ALPHA for v in t.values())
+        goals.append({k: v**mixing.ALPHA / part for k, v in t.items()})
+    w = {k: v / total for k, v in cells.items()}
+    for _ in range(500):
+        for i, goal in enumerate(goals):
+            have = collections.Counter()
+            for k, v in w.items():
+                have[k[i]] += v
+            w = {k: v * goal[k[i]] / have[k[i]] for k, v in w.items()}
+    for r in rows:
+        assert math.isclose(r["weight"], w[r["source"], r["lang"], r["topic"]], rel_tol=1e-5)
+    assert math.isclose(sum(r["prob"] * r["n_tokens"] for r in rows), 0.3 * total, rel_tol=1e-6)
+    kept = sum(r["n_tokens"] for r in rows if r["selected"])
+    assert 0.2 * total < kept < 0.4 * total
+
+
+def test_edges(spark):
+    import pytest
+
+    assert mixing.mix(table(spark).limit(0)).count() == 0
+    goals = {d: spark.createDataFrame([(v, t) for v, t in g], f"{d} {k}, target double") for d, k, g in (("source", "string", [("a", 0.5), ("zz", 0.5)]), ("lang", "string", [("en", 1.0)]))}
+    with pytest.raises(ValueError):
+        mixing.mix(table(spark), goals=goals)
+    same = spark.createDataFrame([(1, "a b c", "en", "s")] * 5 + [(2, "", None, None), (3, None, None, None)], "doc_id long, text string, lang string, source string")
+    rows = mixing.mix(same).collect()
+    assert len({(r["selected"], r["prob"]) for r in rows if r["doc_id"] == 1}) == 1 and not any(r["selected"] for r in rows if r["doc_id"] > 1)
