@@ -144,14 +144,14 @@ def mix(docs: DataFrame, fraction: float = FRACTION, rounds: int = ROUNDS, topic
     # Scale so that the expected tokens are ``fraction`` of all; cells that reach probability 1 stay there.
     ratio = fitted.withColumn("_r", F.col("weight") / F.col("tokens"))
     budget = (cells.agg(F.sum("tokens")).first()[0] or 0) * fraction
-    scale, full = 0.0, None
+    scale = None
     while True:  # the cells of probability 1 only grow in number
-        hit = F.lit(False) if full is None else F.col("_r") * scale >= 1
+        hit = F.lit(False) if scale is None else F.col("_r") * scale >= 1
         s = ratio.agg(F.sum(F.when(hit, F.col("tokens"))).alias("full"), F.sum(F.when(~hit, F.col("weight"))).alias("rest")).first()
-        new = (budget - (s["full"] or 0)) / s["rest"] if s["rest"] else scale
-        if full is not None and new <= scale * (1 + 1e-12):
+        new = (budget - (s["full"] or 0)) / s["rest"] if s["rest"] else scale or 0.0
+        if scale is not None and new <= scale * (1 + 1e-12):
             break
-        scale, full = max(new, scale), s["full"]
+        scale = new
     probs = ratio.select("_cell", "weight", F.least(F.lit(1.0), F.col("_r") * scale).alias("prob"))
     out = join_small(sized.select("d", "_tokens", "_topic", "_cell"), probs, "_cell", cells.count())
     draw = (F.pmod(F.xxhash64("d.doc_id", F.lit(seed)), F.lit(1 << 40)) / float(1 << 40))
