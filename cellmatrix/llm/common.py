@@ -131,6 +131,11 @@ def fold(doc_id: Column, parts: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % parts
 
 
+def maybe(df: DataFrame, rows: int) -> DataFrame:
+    """``df``, of ``rows`` rows of a fixed width, for a join: broadcast if it is small, else dealt by key."""
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+
+
 def join_small(big: DataFrame, small: DataFrame, key: str, rows: int, how: str = "left", salts: int = 16) -> DataFrame:
     """Join a table whose ``key`` may be very uneven to one with unique keys.
 

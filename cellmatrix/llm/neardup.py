@@ -31,13 +31,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, Workspace, lower_ascii, ship, words
+from .common import Workspace, lower_ascii, maybe, ship, words
 
 ship(__name__)
 
 SHINGLE, PCT, BANDS, WIDTH, SEED, LOST = 3, 85, 14, 3, 23, 1e-6
 #: First lists of tables (the diagonal) and how many rounds have leaders in all tables.
-QUICK, LED = 3, 2
+QUICK, LED = 3, 1
 
 
 def shingle_sets(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
@@ -112,11 +112,11 @@ def components(edges: DataFrame, ws: Workspace, name: str) -> DataFrame:
     roots and contracts the edges to the roots, which at least halves the nodes.
     """
     known, left, k = None, ws.keep(edges.select("a", "b").where("a <> b"), f"{name}_e"), 0
-    while not left.isEmpty():
+    while (n := left.count()) > 0:
         both = left.union(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
         up = ws.keep(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("comp")), f"{name}_p{k}_0")
         for j in range(1, 64):
-            to = up.select(F.col("node").alias("comp"), F.col("comp").alias("_to"))
+            to = maybe(up.select(F.col("node").alias("comp"), F.col("comp").alias("_to")), 2 * n)
             nxt = ws.keep(up.join(to, "comp").select("node", F.col("_to").alias("comp"), (F.col("_to") != F.col("comp")).alias("moved")), f"{name}_p{k}_{j}")
             ws.drop(f"{name}_p{k}_{j - 1}")
             up = nxt.select("node", "comp")
@@ -125,9 +125,9 @@ def components(edges: DataFrame, ws: Workspace, name: str) -> DataFrame:
         if known is None:
             known = up
         else:
-            to = up.select(F.col("node").alias("comp"), F.col("comp").alias("_to"))
+            to = maybe(up.select(F.col("node").alias("comp"), F.col("comp").alias("_to")), 2 * n)
             known = ws.keep(known.join(to, "comp", "left").select("node", F.coalesce("_to", "comp").alias("comp")), f"{name}_k{k}")
-        pa_, pb = (up.select(F.col("node").alias(c), F.col("comp").alias(f"_{c}")) for c in "ab")
+        pa_, pb = (maybe(up.select(F.col("node").alias(c), F.col("comp").alias(f"_{c}")), 2 * n) for c in "ab")
         left = ws.keep(left.join(pa_, "a").join(pb, "b").select(F.col("_a").alias("a"), F.col("_b").alias("b")).where("a <> b").distinct(), f"{name}_l{k}")
         k += 1
     return known if known is not None else edges.select(F.col("a").alias("node"), F.col("a").alias("comp")).limit(0)
@@ -135,18 +135,18 @@ def components(edges: DataFrame, ws: Workspace, name: str) -> DataFrame:
 
 def verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, ws: Workspace, name: str, pct: int, size: int) -> DataFrame:
     """The distinct pairs (a, b) of classes whose full sets reach ``pct`` percent; sets are made for their texts alone."""
-    need = pairs.select(F.col("a").alias("c")).union(pairs.select(F.col("b").alias("c"))).distinct()
-    need = ws.keep(reps.join(need, "c").select("c", F.col("rep").alias("doc_id"), "h1"), f"{name}_n")
+    need = ws.keep(pairs.select(F.col("a").alias("c")).union(pairs.select(F.col("b").alias("c"))).distinct(), f"{name}_w")
+    n = need.count()
+    need = ws.keep(reps.join(maybe(need, n), "c").select("c", F.col("rep").alias("doc_id"), "h1"), f"{name}_n")
     # Texts are looked up by id, and by the hash of their set where an id has several.
-    ids = need.select("doc_id").distinct()
-    text = docs.join(F.broadcast(ids) if need.count() <= BROADCAST_ROWS else ids, "doc_id", "left_semi")
+    text = docs.join(maybe(need.select("doc_id"), n), "doc_id", "left_semi")
     made = shingle_sets(text, size).withColumn("h1", F.xxhash64("s", F.lit(1)))
-    sets = ws.keep(made.dropDuplicates(["doc_id", "h1"]).join(need, ["doc_id", "h1"]).select("c", "s"), f"{name}_s")
+    sets = ws.keep(made.dropDuplicates(["doc_id", "h1"]).join(maybe(need, n), ["doc_id", "h1"]).select("c", "s"), f"{name}_s")
     sa, sb = sets.select(F.col("c").alias("a"), F.col("s").alias("sa")), sets.select(F.col("c").alias("b"), F.col("s").alias("sb"))
     both = F.size(F.array_intersect("sa", "sb"))
     good = pairs.join(sb, "b").join(sa, "a").select("a", "b", both.alias("both"), F.size("sa").alias("na"), F.size("sb").alias("nb"))
     out = ws.keep(good.where(100 * F.col("both") >= pct * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b"), f"{name}_v")
-    ws.drop(f"{name}_n", f"{name}_s")
+    ws.drop(f"{name}_w", f"{name}_n", f"{name}_s")
     return out
 
 
@@ -164,12 +164,13 @@ def near_duplicates(docs: DataFrame, pct: int = PCT, size: int = SHINGLE, bands:
     same = own.join(several, "doc_id").join(reps.select("h1", "h2", "n", "c"), ["h1", "h2", "n"]).select("doc_id", "c")
     links = same.join(same.groupBy("doc_id").agg(F.min("c").alias("a")), "doc_id").select("a", F.col("c").alias("b"))
     links = ws.keep(links.where("a <> b"), "links")
-    looks = reps.select("c", "n", "s1", "s2")
-    side = lambda k: looks.select(F.col("c").alias(k), *[F.col(x).alias(f"{x}{k}") for x in ("n", "s1", "s2")])
+    n_reps = reps.count()
+    side = lambda k: maybe(reps.select(F.col("c").alias(k), *[F.col(x).alias(f"{x}{k}") for x in ("n", "s1", "s2")]), n_reps)
     live = reps.select("c", F.posexplode("keys").alias("i", "v"))
     for r in range(LED + 2):
         comp = components(links, ws, f"comp{r}")
-        at = live.select("c", "i", "v").join(comp.withColumnRenamed("node", "c"), "c", "left").withColumn("comp", F.coalesce("comp", "c"))
+        n_comp = comp.count()
+        at = live.select("c", "i", "v").join(maybe(comp.withColumnRenamed("node", "c"), n_comp), "c", "left").withColumn("comp", F.coalesce("comp", "c"))
         at = ws.keep(at, f"at{r}")
         # Band values of several components; the two ends of a value's range tell without counting.
         shared = ws.keep(at.groupBy("i", "v").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("i", "v"), f"shared{r}")
@@ -182,7 +183,7 @@ def near_duplicates(docs: DataFrame, pct: int = PCT, size: int = SHINGLE, bands:
             table = table.where((F.col("y.i") == F.col("x.i") + bands) & (F.col("x.i") < QUICK))
         table = table.select("c", "comp", F.xxhash64("x.i", "y.i", "x.v", "y.v").alias("key"))
         # Another order of the classes in each round gives another leader.
-        turn = F.lit([0, 0x5555555555555, 0x3333333333333, 0][r])
+        turn = F.lit([0, 0x5555555555555, 0][r])
         open_ = table.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(F.col("c").bitwiseXOR(turn)).alias("lead"))
         open_ = ws.keep(open_.where("lo < hi").select("key", F.col("lead").bitwiseXOR(turn).alias("b")), f"open{r}")
         rows = ws.keep(table.join(open_, "key").select("key", "c", "comp", "b"), f"rows{r}")
@@ -193,7 +194,7 @@ def near_duplicates(docs: DataFrame, pct: int = PCT, size: int = SHINGLE, bands:
             other = rows.select("key", F.col("comp").alias("comp_b"), F.col("c").alias("b")).join(side("b"), "b")
             seen, other = ws.keep(seen, "seen"), ws.keep(other, "other")
             pairs = seen.join(other, (seen["key"] == other["key"]) & (F.col("comp") < F.col("comp_b")) & alike("a", "b", bits, pct)).select("a", "b").distinct()
-        to = comp.select(F.col("node").alias("a"), F.col("comp").alias("_a")), comp.select(F.col("node").alias("b"), F.col("comp").alias("_b"))
+        to = [maybe(comp.select(F.col("node").alias(k), F.col("comp").alias(f"_{k}")), n_comp) for k in "ab"]
         pairs = ws.keep(pairs, f"pairs{r}").join(side("a"), "a").join(side("b"), "b").where(alike("a", "b", bits, pct)).select("a", "b")
         pairs = pairs.join(to[0], "a", "left").join(to[1], "b", "left").where(F.coalesce("_a", "a") != F.coalesce("_b", "b")).select("a", "b")
         links = ws.keep(links.union(verified(ws.keep(pairs, f"cand{r}"), docs, reps, ws, f"round{r}", pct, size)), f"links{r}")
