@@ -7,13 +7,15 @@ about 2 * (1 - s^WIDTH)^bands (3e-6 at 0.85, 9e-5 at 0.8). A band value that no
 component has is dropped before the combinations are made.
 
 Texts with equal sets are one class. Candidates come from the tables in rounds: in the
-first few rounds each member of a bucket is held against one leader of it, as long as the
-bucket has several components; in the last round every pair of a bucket across components
-is. So a pair that shares a bucket is in one component already or has been a candidate,
-and a large group costs a pass over its members, not its square. Candidates whose sizes
-cannot reach the similarity, or whose sketches (one bit of each minhash) differ in more
-bits than a similar pair does with chance LOST, are dropped; the others are confirmed on
-full shingle sets.
+first two rounds each member of a bucket is held against one leader of it, as long as the bucket
+has several components: in a few tables the same leader wherever it stands, in all tables
+another in each bucket. In the last round every pair across components that shares a band
+of both collections is held once, but for pairs too far apart: the distance of two sets is
+at least the difference of their distances to a leader that both were held against. So a
+pair that shares a bucket is in one component already, or is proven unlike, or has been a
+candidate. Candidates whose sizes cannot reach the similarity, or whose sketches (one bit of
+each minhash) differ in more bits than a similar pair does with chance LOST, are dropped;
+the others are confirmed on full shingle sets.
 
 Defined results: null, empty or wordless texts have empty sets and are linked with
 nothing; repeated rows each get a row, and the texts of one doc_id are linked with each
@@ -36,8 +38,8 @@ from .common import Workspace, lower_ascii, maybe, ship, words
 ship(__name__)
 
 SHINGLE, PCT, BANDS, WIDTH, SEED, LOST = 3, 85, 14, 3, 23, 1e-6
-#: First lists of tables (the diagonal) and how many rounds have leaders in all tables.
-QUICK, LED = 3, 1
+#: Tables of the first round (of the diagonal).
+QUICK = 3
 
 
 def shingle_sets(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
@@ -133,8 +135,8 @@ def components(edges: DataFrame, ws: Workspace, name: str) -> DataFrame:
     return known if known is not None else edges.select(F.col("a").alias("node"), F.col("a").alias("comp")).limit(0)
 
 
-def verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, ws: Workspace, name: str, pct: int, size: int) -> DataFrame:
-    """The distinct pairs (a, b) of classes whose full sets reach ``pct`` percent; sets are made for their texts alone."""
+def verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, ws: Workspace, name: str, size: int) -> DataFrame:
+    """The distinct pairs (a, b) of classes with both, na, nb: the shingles of their full sets that are common, a's and b's."""
     need = ws.keep(pairs.select(F.col("a").alias("c")).union(pairs.select(F.col("b").alias("c"))).distinct(), f"{name}_w")
     n = need.count()
     need = ws.keep(reps.join(maybe(need, n), "c").select("c", F.col("rep").alias("doc_id"), "h1"), f"{name}_n")
@@ -145,7 +147,7 @@ def verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, ws: Workspace,
     sa, sb = sets.select(F.col("c").alias("a"), F.col("s").alias("sa")), sets.select(F.col("c").alias("b"), F.col("s").alias("sb"))
     both = F.size(F.array_intersect("sa", "sb"))
     good = pairs.join(sb, "b").join(sa, "a").select("a", "b", both.alias("both"), F.size("sa").alias("na"), F.size("sb").alias("nb"))
-    out = ws.keep(good.where(100 * F.col("both") >= pct * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b"), f"{name}_v")
+    out = ws.keep(good, f"{name}_v")
     ws.drop(f"{name}_w", f"{name}_n", f"{name}_s")
     return out
 
@@ -167,7 +169,7 @@ def near_duplicates(docs: DataFrame, pct: int = PCT, size: int = SHINGLE, bands:
     n_reps = reps.count()
     side = lambda k: maybe(reps.select(F.col("c").alias(k), *[F.col(x).alias(f"{x}{k}") for x in ("n", "s1", "s2")]), n_reps)
     live = reps.select("c", F.posexplode("keys").alias("i", "v"))
-    for r in range(LED + 2):
+    for r in range(3):
         comp = components(links, ws, f"comp{r}")
         n_comp = comp.count()
         at = live.select("c", "i", "v").join(maybe(comp.withColumnRenamed("node", "c"), n_comp), "c", "left").withColumn("comp", F.coalesce("comp", "c"))
@@ -176,29 +178,41 @@ def near_duplicates(docs: DataFrame, pct: int = PCT, size: int = SHINGLE, bands:
         shared = ws.keep(at.groupBy("i", "v").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("i", "v"), f"shared{r}")
         live = ws.keep(at.join(shared, ["i", "v"]).select("c", "comp", "i", "v"), f"live{r}")
         ws.drop(f"at{r}", f"shared{r}", f"live{r - 1}")
-        half = live.groupBy("c", "comp").agg(F.collect_list(F.when(F.col("i") < bands, F.struct("i", "v"))).alias("x"), F.collect_list(F.when(F.col("i") >= bands, F.struct("i", "v"))).alias("y"))
+        band = F.xxhash64("i", "v")
+        half = live.groupBy("c", "comp").agg(F.collect_list(F.when(F.col("i") < bands, F.struct("i", band.alias("v")))).alias("x"), F.collect_list(F.when(F.col("i") >= bands, F.struct("i", band.alias("v")))).alias("y"))
         half = ws.keep(half.where("size(x) > 0 and size(y) > 0"), f"half{r}")
-        table = half.select("c", "comp", F.explode("x").alias("x"), "y").select("c", "comp", "x", F.explode("y").alias("y"))
-        if r == 0:
-            table = table.where((F.col("y.i") == F.col("x.i") + bands) & (F.col("x.i") < QUICK))
-        table = table.select("c", "comp", F.xxhash64("x.i", "y.i", "x.v", "y.v").alias("key"))
-        # Another order of the classes in each round gives another leader.
-        turn = F.lit([0, 0x5555555555555, 0][r])
-        open_ = table.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(F.col("c").bitwiseXOR(turn)).alias("lead"))
-        open_ = ws.keep(open_.where("lo < hi").select("key", F.col("lead").bitwiseXOR(turn).alias("b")), f"open{r}")
-        rows = ws.keep(table.join(open_, "key").select("key", "c", "comp", "b"), f"rows{r}")
-        if r <= LED:
-            pairs = rows.where("c <> b").select(F.col("c").alias("a"), "b").distinct()
+        if r < 2:
+            table = half.select("c", "comp", F.explode("x").alias("x"), "y").select("c", "comp", "x", F.explode("y").alias("y"))
+            if r == 0:
+                table = table.where((F.col("y.i") == F.col("x.i") + bands) & (F.col("x.i") < QUICK))
+            table = table.select("c", "comp", F.xxhash64("x.v", "y.v").alias("key"))
+            # The order of the classes that makes the first the leader is one for all buckets, then each bucket's own.
+            turn = F.lit(0).cast("long") if r == 0 else F.col("key")
+            open_ = table.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(F.col("c").bitwiseXOR(turn)).alias("lead"))
+            open_ = ws.keep(open_.where("lo < hi").select("key", F.col("lead").bitwiseXOR(turn).alias("b")), f"open{r}")
+            pairs = table.join(open_, "key").where("c <> b").select(F.col("c").alias("a"), "b").distinct()
+            to = [maybe(comp.select(F.col("node").alias(k), F.col("comp").alias(f"_{k}")), n_comp) for k in "ab"]
+            pairs = ws.keep(pairs, f"pairs{r}").join(to[0], "a", "left").join(to[1], "b", "left").where(F.coalesce("_a", "a") != F.coalesce("_b", "b"))
+            pairs = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").where(alike("a", "b", bits, pct)).select("a", "b")
         else:
-            seen = rows.select("key", "comp", F.col("c").alias("a")).join(side("a"), "a")
-            other = rows.select("key", F.col("comp").alias("comp_b"), F.col("c").alias("b")).join(side("b"), "b")
-            seen, other = ws.keep(seen, "seen"), ws.keep(other, "other")
-            pairs = seen.join(other, (seen["key"] == other["key"]) & (F.col("comp") < F.col("comp_b")) & alike("a", "b", bits, pct)).select("a", "b").distinct()
-        to = [maybe(comp.select(F.col("node").alias(k), F.col("comp").alias(f"_{k}")), n_comp) for k in "ab"]
-        pairs = ws.keep(pairs, f"pairs{r}").join(side("a"), "a").join(side("b"), "b").where(alike("a", "b", bits, pct)).select("a", "b")
-        pairs = pairs.join(to[0], "a", "left").join(to[1], "b", "left").where(F.coalesce("_a", "a") != F.coalesce("_b", "b")).select("a", "b")
-        links = ws.keep(links.union(verified(ws.keep(pairs, f"cand{r}"), docs, reps, ws, f"round{r}", pct, size)), f"links{r}")
-        ws.drop(f"half{r}", f"open{r}", f"rows{r}", f"pairs{r}", f"cand{r}", "seen", "other")
+            rows = half.select("c", "comp", F.col("x.v").alias("x"), F.col("y.v").alias("y")).join(side("c"), "c").join(maybe(pivots, n_pivots), "c", "left")
+            rows = ws.keep(rows.select("*", F.explode("x").alias("key")), "rows")
+            ends = [rows.select("key", *[F.col(x).alias(x[:-1] + k if x in ("nc", "s1c", "s2c") else f"{x}_{k}") for x in rows.columns if x != "key"]) for k in "ab"]
+            same = F.col("pivot_a").eqNullSafe(F.col("pivot_b")) & F.col("pivot_a").isNotNull()
+            near = ~same | (F.abs(F.col("far_a") - F.col("far_b")) <= 1 - pct / 100 + 1e-9)
+            once = F.arrays_overlap("y_a", "y_b") & (F.array_min(F.array_intersect("x_a", "x_b")) == ends[0]["key"])
+            on = (ends[0]["key"] == ends[1]["key"]) & (F.col("comp_a") < F.col("comp_b")) & near & alike("a", "b", bits, pct) & once
+            pairs = ends[0].join(ends[1], on).select(F.col("c_a").alias("a"), F.col("c_b").alias("b"))
+        found = verified(ws.keep(pairs, f"cand{r}"), docs, reps, ws, f"round{r}", size)
+        both, either = F.col("both"), F.col("na") + F.col("nb") - F.col("both")
+        if r == 0:
+            # Each class's distance to the first leader it was held against.
+            held = found.select(F.col("a").alias("c"), F.struct(F.col("b").alias("pivot"), (1 - both / either).alias("far")).alias("p"))
+            held = held.union(found.select(F.col("b").alias("c"), F.struct(F.col("b").alias("pivot"), F.lit(0.0).alias("far"))))
+            pivots = ws.keep(held.groupBy("c").agg(F.min("p").alias("p")).select("c", "p.pivot", "p.far"), "pivots")
+            n_pivots = pivots.count()
+        links = ws.keep(links.union(found.where(100 * both >= pct * either).select("a", "b")), f"links{r}")
+        ws.drop(f"half{r}", f"open{r}", f"pairs{r}", f"cand{r}", "rows")
     comp = components(links, ws, "comp_last")
     classes = reps.join(comp.withColumnRenamed("node", "c"), "c", "left").select("h1", "h2", "n", "rep", F.coalesce("comp", "c").alias("comp"))
     classes = ws.keep(classes, "classes")
