@@ -39,3 +39,45 @@ def test_near_duplicates_edges(spark):
     got = {r["doc_id"]: r for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert [got[i]["component_id"] for i in range(1, 9)] == [1, 1, 1, 4, 5, 6, 6, 8]
     assert got[4]["n_shingles"] == 0 and got[6]["n_shingles"] == 1
+
+
+def test_groups_by_brute_force(spark):
+    """A large group of near copies, texts that share a passage, ids of several texts, repeats: components against all pairs."""
+    import random
+
+    rng = random.Random(5)
+    base, passage, rows = [f"b{i}" for i in range(90)], [f"p{i}" for i in range(40)], []
+    for k in range(160):
+        w = list(base)
+        for _ in range(rng.choice([0, 1, 1, 2, 2, 3, 4, 6, 9])):
+            w[rng.randrange(len(w))] = f"e{rng.randrange(400)}"
+        rows.append((1000 - k, " ".join(w)))
+    for k in range(80):
+        own = [f"o{k}_{i}" for i in range(rng.choice([0, 2, 4, 8, 20, 60]))]
+        rows.append((2000 + k, " ".join(own + passage)))
+    rows += [(3000, "x y z"), (3000, "q r s t"), (3001, "Q r s T"), (3002, "X y z"), (3003, None), (None, "x y z"), (3004, " "), rows[0], rows[200]]
+    df = spark.createDataFrame([(i, t, 1, "k") for i, t in rows], "doc_id long, text string, n int, keys string").repartition(4)
+    for pct, size in ((85, 3), (80, 5)):
+        sets = []
+        for i, t in rows:
+            w = (t or "").lower().split()
+            sets.append((i, frozenset(tuple(w[j : j + size]) for j in range(max(1, len(w) - size + 1))) if w else frozenset()))
+        root = {i: i for i, _ in sets if i is not None}
+
+        def find(i):
+            while root[i] != i:
+                i = root[i]
+            return i
+
+        known = [x for x in sets if x[0] is not None and x[1]]
+        for n, (i, s) in enumerate(known):
+            for j, t in known[:n]:
+                both = len(s & t)
+                if 100 * both >= pct * (len(s) + len(t) - both):
+                    lo, hi = sorted((find(i), find(j)))
+                    root[hi] = lo
+        want = sorted(repr((i, len(s), find(i) if i is not None and s else i)) for i, s in sets)
+        got = neardup.near_duplicates(df, pct, size).collect()
+        assert sorted(repr((r["doc_id"], r["n_shingles"], r["component_id"])) for r in got) == want
+        assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in got)
+    assert neardup.near_duplicates(df.limit(0)).count() == 0
