@@ -132,22 +132,27 @@ def cells_per_type(obs: DataFrame) -> DataFrame:
     return obs.groupBy("cell_type").agg(F.count(F.lit(1)).alias("n_cells"))
 
 
-def _sums(layer: DataFrame, obs: DataFrame, var: DataFrame) -> DataFrame:
-    """n, s1, s2, stored and positive entries of every gene and cell type, absent pairs included."""
-    types = obs.where("cell_type is not null").groupBy("cell_type").agg(F.count(F.lit(1)).alias("n"))
+def partial_sums(layer: DataFrame, obs: DataFrame) -> DataFrame:
+    """s1, s2, stored (ne) and positive (e) entries of every gene and cell type that has any; sums of parts add up."""
     v = F.col("value").cast("double")
-    per = (
-        layer.join(obs.select("cell_id", "cell_type"), "cell_id")
-        .groupBy("gene_id", "cell_type")
-        .agg(F.sum(v).alias("s1"), F.sum(v * v).alias("s2"), F.count(F.lit(1)).alias("ne"), F.count_if((v > 0) & ~F.isnan(v)).alias("e"))
-    )
+    per = layer.join(obs.select("cell_id", "cell_type"), "cell_id").groupBy("gene_id", "cell_type")
+    return per.agg(F.sum(v).alias("s1"), F.sum(v * v).alias("s2"), F.count(F.lit(1)).alias("ne"), F.count_if((v > 0) & ~F.isnan(v)).alias("e"))
+
+
+def on_grid(per: DataFrame, obs: DataFrame, var: DataFrame) -> DataFrame:
+    """The sums of ``per`` and n, the cells of the type, for every gene and cell type, absent pairs included."""
+    types = obs.where("cell_type is not null").groupBy("cell_type").agg(F.count(F.lit(1)).alias("n"))
     grid = var.select("gene_id").crossJoin(types)  # the grid itself is the result
     return grid.join(per, ["gene_id", "cell_type"], "left").fillna(0, ["s1", "s2", "ne", "e"])
 
 
 def celltype_stats(layer: DataFrame, obs: DataFrame, var: DataFrame) -> DataFrame:
     """Observed statistics; a cell expresses a gene where the value is positive."""
-    s = _sums(layer, obs, var)
+    return stats_of(on_grid(partial_sums(layer, obs), obs, var))
+
+
+def stats_of(s: DataFrame) -> DataFrame:
+    """The statistics of sums on the grid."""
     frac = F.col("e") / F.col("n")
     return s.select(
         "gene_id", "cell_type", F.col("n").alias("n_cells"), (1 - frac).alias("obs_zero_frac"), (F.col("s1") / F.col("n")).alias("mean_expr"),
@@ -160,7 +165,11 @@ def zinb_params(layer: DataFrame, obs: DataFrame, var: DataFrame, clip: float |
 
     ``clip`` bounds r (HALF_LIMIT for storage in half precision).
     """
-    s = _sums(layer, obs, var)
+    return zinb_of(on_grid(partial_sums(layer, obs), obs, var), clip)
+
+
+def zinb_of(s: DataFrame, clip: float | None = None) -> DataFrame:
+    """The moments of sums on the grid."""
     n, mu = F.col("n").cast("double"), F.col("s1") / F.col("n")
     var_ = F.when(F.col("n") > 1, (F.col("s2") - F.col("s1") * F.col("s1") / n) / F.greatest(n - 1, F.lit(1.0))).otherwise(0.0)
     s = s.select("gene_id", "cell_type", "n", "ne", mu.alias("mu"), var_.alias("v"))

@@ -267,3 +267,20 @@ def test_command_line(spark, tmp_path, capsys):
     page.write_text("cell_id,gene_id,value\n1,2,3\n")
     (tmp_path / "got.csv.part").write_bytes(b"old")
     assert convert.fetch(page.as_uri(), str(tmp_path / "got.csv")) and (tmp_path / "got.csv").read_text() == page.read_text()
+
+
+def test_growing_layer(spark, tmp_path):
+    from cellmatrix.streaming import stats
+
+    m, _ = matrix(spark)
+    src, path, check = (str(tmp_path / x) for x in ("in", "sums", "check"))
+    layer, obs, var = m.layer("X_raw"), m.obs, m.modalities["RNA"].var
+    assert stats.celltype_stats(spark, obs, var, path).agg(F.sum("mean_expr")).first()[0] == 0
+    for part in ("cell_id < 5", "cell_id >= 5 and gene_id < 4", "cell_id >= 5 and gene_id >= 4"):
+        layer.where(part).write.mode("append").parquet(src)
+        stats.maintain(spark.readStream.schema(layer.schema).parquet(src), obs, path, check, once=True).awaitTermination()
+    assert entries(stats.celltype_stats(spark, obs, var, path)) == entries(m.celltype_stats())
+    assert entries(stats.zinb_params(spark, obs, var, path)) == entries(M.zinb_params(layer, obs, var))
+    before = entries(stats.current(spark, path))
+    stats.add_batch(layer, 2, obs, path)  # a batch that was added already
+    assert entries(stats.current(spark, path)) == before
