@@ -13,8 +13,8 @@ another in each bucket. In the last round every pair across components that shar
 of both collections is held once, but for pairs too far apart: the distance of two sets is
 at least the difference of their distances to a leader that both were held against. So a
 pair that shares a bucket is in one component already, or is proven unlike, or has been a
-candidate. Candidates whose sizes cannot reach the similarity, or whose sketches (one bit of
-each minhash) differ in more bits than a similar pair does with chance LOST, are dropped;
+candidate. Candidates whose sizes cannot reach the similarity, or whose sketches (BITS bits
+of each minhash) differ in more bits than a similar pair does with chance LOST, are dropped;
 the others are confirmed on full shingle sets.
 
 Defined results: null, empty or wordless texts have empty sets and are linked with
@@ -37,7 +37,7 @@ from .common import Workspace, lower_ascii, maybe, ship, words
 
 ship(__name__)
 
-SHINGLE, PCT, BANDS, WIDTH, SEED, LOST = 3, 85, 14, 3, 23, 1e-6
+SHINGLE, PCT, BANDS, WIDTH, SEED, LOST, BITS = 3, 85, 14, 3, 23, 1e-6, 4
 #: Tables of the first round (of the diagonal).
 QUICK = 3
 
@@ -54,12 +54,12 @@ def shingle_sets(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
 
 
 def sign(docs: DataFrame, bands: int, size: int = SHINGLE) -> DataFrame:
-    """doc_id, n, h1, h2 (two hashes of the set), the band values of both collections and the sketch (two longs)."""
+    """doc_id, n, h1, h2 (two hashes of the set), the band values of both collections and the sketch (longs of BITS bits a minhash)."""
     kind = dict(docs.dtypes)["doc_id"]
     rng = np.random.default_rng(SEED)
     mul = rng.integers(1, 1 << 63, 2 * bands * WIDTH, dtype=np.uint64) | np.uint64(1)
     add = rng.integers(0, 1 << 63, 2 * bands * WIDTH, dtype=np.uint64)
-    half = bands * WIDTH
+    each = 60 // BITS  # minhashes of a long
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -67,44 +67,55 @@ def sign(docs: DataFrame, bands: int, size: int = SHINGLE) -> DataFrame:
             x = np.asarray(b.column(1).flatten(), dtype=np.int64).view(np.uint64)
             full = np.flatnonzero(n)
             begin = (np.cumsum(n) - n)[full]
-            out, bits = np.zeros((len(n), 2 * bands), np.uint64), np.zeros((len(n), 2), np.uint64)
+            out, bits = np.zeros((len(n), 2 * bands), np.uint64), np.zeros((len(n), longs(bands)), np.uint64)
             # As many texts at a time as have some 200,000 shingles.
             for at in np.split(np.arange(len(full)), np.flatnonzero(np.diff((np.cumsum(n[full]) - n[full]) // 200_000)) + 1) if len(full) else []:
                 rows, first = full[at], begin[at]
                 y = x[first[0] : first[-1] + n[rows[-1]]]
                 y, first = y ^ (y >> np.uint64(31)), first - first[0]
-                for k in range(2 * half):
+                for k in range(2 * bands * WIDTH):
                     z = y * mul[k] + add[k]
                     z ^= z >> np.uint64(32)
                     z *= np.uint64(0x9E3779B97F4A7C15)
                     least = np.minimum.reduceat(z, first)
                     out[rows, k // WIDTH] = out[rows, k // WIDTH] * np.uint64(0x100000001B3) + least
-                    bits[rows, k // half] |= (least >> np.uint64(7) & np.uint64(1)) << np.uint64(k % half)
+                    bits[rows, k // each] |= (least >> np.uint64(7) & np.uint64((1 << BITS) - 1)) << np.uint64(k % each * BITS)
             flat = pa.array(out.view(np.int64).ravel())
             keys = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * (2 * bands)), flat)
-            sketch = [pa.array(np.ascontiguousarray(bits[:, i]).view(np.int64)) for i in (0, 1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), b.column(2), b.column(3), keys, *sketch], names=["doc_id", "n", "h1", "h2", "keys", "s1", "s2"])
+            sketch = [pa.array(np.ascontiguousarray(x).view(np.int64)) for x in bits.T]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), b.column(2), b.column(3), keys, *sketch], names=["doc_id", "n", "h1", "h2", "keys", *names])
 
+    names = [f"s{i}" for i in range(longs(bands))]
     sets = shingle_sets(docs, size)
     return sets.select("doc_id", "s", F.xxhash64("s", F.lit(1)).alias("h1"), F.xxhash64(F.lit(2), "s").alias("h2")).mapInArrow(
-        run, f"doc_id {kind}, n long, h1 long, h2 long, keys array<long>, s1 long, s2 long"
+        run, f"doc_id {kind}, n long, h1 long, h2 long, keys array<long>, " + ", ".join(f"{x} long" for x in names)
     )
 
 
-def sketch_limit(bits: int, pct: int) -> int:
-    """In how many of ``bits`` the sketches of a pair of ``pct`` percent differ, but with chance LOST."""
-    p, tail, t = (1 - pct / 100) / 2, 1.0, -1
+def longs(bands: int) -> int:
+    """How many longs a sketch has."""
+    return -(-2 * bands * WIDTH // (60 // BITS))
+
+
+def sketch_limit(hashes: int, pct: int) -> int:
+    """In how many bits the sketches of a pair of ``pct`` percent differ at most, but with chance LOST.
+
+    A minhash differs with one less the similarity, and then each of its BITS bits by chance.
+    """
+    p = 1 - pct / 100
+    odds = [math.comb(hashes, j) * p**j * (1 - p) ** (hashes - j) for j in range(hashes + 1)]
+    tail, t = 1.0, -1
     while tail > LOST:
         t += 1
-        tail -= math.comb(bits, t) * p**t * (1 - p) ** (bits - t)
+        tail -= sum(o * math.comb(BITS * j, t) / 2 ** (BITS * j) for j, o in enumerate(odds) if t <= BITS * j)
     return t
 
 
-def alike(a: str, b: str, bits: int, pct: int) -> Column:
-    """Whether the sizes and sketches of a pair (columns n, s1, s2 with the two endings) allow the similarity."""
+def alike(a: str, b: str, bands: int, pct: int) -> Column:
+    """Whether the sizes and sketches of a pair (columns n, s0, s1 and so on with the two endings) allow the similarity."""
     n, m = F.col(f"n{a}"), F.col(f"n{b}")
-    far = sum(F.bit_count(F.col(f"s{i}{a}").bitwiseXOR(F.col(f"s{i}{b}"))) for i in (1, 2))
-    return (100 * F.least(n, m) >= pct * F.greatest(n, m)) & (far <= sketch_limit(bits, pct))
+    far = sum(F.bit_count(F.col(f"s{i}{a}").bitwiseXOR(F.col(f"s{i}{b}"))) for i in range(longs(bands)))
+    return (100 * F.least(n, m) >= pct * F.greatest(n, m)) & (far <= sketch_limit(2 * bands * WIDTH, pct))
 
 
 def components(edges: DataFrame, ws: Workspace, name: str) -> DataFrame:
@@ -156,10 +167,10 @@ def near_duplicates(docs: DataFrame, pct: int = PCT, size: int = SHINGLE, bands:
     """One row per document: doc_id, n_shingles, component_id, kept."""
     ws = Workspace(docs.sparkSession)
     docs = docs.select("doc_id", "text")
-    bits = 2 * bands * WIDTH
+    marks = ["n", *[f"s{i}" for i in range(longs(bands))]]
     signed = ws.keep(sign(docs, bands, size), "signed")
     own = signed.where("n > 0 and doc_id is not null")
-    first = own.groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep"), F.first("s1").alias("s1"), F.first("s2").alias("s2"), F.first("keys").alias("keys"))
+    first = own.groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep"), *[F.first(x).alias(x) for x in marks[1:]], F.first("keys").alias("keys"))
     reps = ws.keep(first.withColumn("c", F.monotonically_increasing_id()), "reps")
     # Ids that stand for several texts link their classes.
     several = own.groupBy("doc_id").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi")).where("lo < hi").select("doc_id")
@@ -167,7 +178,7 @@ def near_duplicates(docs: DataFrame, pct: int = PCT, size: int = SHINGLE, bands:
     links = same.join(same.groupBy("doc_id").agg(F.min("c").alias("a")), "doc_id").select("a", F.col("c").alias("b"))
     links = ws.keep(links.where("a <> b"), "links")
     n_reps = reps.count()
-    side = lambda k: maybe(reps.select(F.col("c").alias(k), *[F.col(x).alias(f"{x}{k}") for x in ("n", "s1", "s2")]), n_reps)
+    side = lambda k: maybe(reps.select(F.col("c").alias(k), *[F.col(x).alias(f"{x}{k}") for x in marks]), n_reps)
     live = reps.select("c", F.posexplode("keys").alias("i", "v"))
     for r in range(3):
         comp = components(links, ws, f"comp{r}")
@@ -193,15 +204,15 @@ def near_duplicates(docs: DataFrame, pct: int = PCT, size: int = SHINGLE, bands:
             pairs = table.join(open_, "key").where("c <> b").select(F.col("c").alias("a"), "b").distinct()
             to = [maybe(comp.select(F.col("node").alias(k), F.col("comp").alias(f"_{k}")), n_comp) for k in "ab"]
             pairs = ws.keep(pairs, f"pairs{r}").join(to[0], "a", "left").join(to[1], "b", "left").where(F.coalesce("_a", "a") != F.coalesce("_b", "b"))
-            pairs = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").where(alike("a", "b", bits, pct)).select("a", "b")
+            pairs = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").where(alike("a", "b", bands, pct)).select("a", "b")
         else:
             rows = half.select("c", "comp", F.col("x.v").alias("x"), F.col("y.v").alias("y")).join(side("c"), "c").join(maybe(pivots, n_pivots), "c", "left")
             rows = ws.keep(rows.select("*", F.explode("x").alias("key")), "rows")
-            ends = [rows.select("key", *[F.col(x).alias(x[:-1] + k if x in ("nc", "s1c", "s2c") else f"{x}_{k}") for x in rows.columns if x != "key"]) for k in "ab"]
+            ends = [rows.select("key", *[F.col(x).alias(x[:-1] + k if x[:-1] in marks else f"{x}_{k}") for x in rows.columns if x != "key"]) for k in "ab"]
             same = F.col("pivot_a").eqNullSafe(F.col("pivot_b")) & F.col("pivot_a").isNotNull()
             near = ~same | (F.abs(F.col("far_a") - F.col("far_b")) <= 1 - pct / 100 + 1e-9)
             once = F.arrays_overlap("y_a", "y_b") & (F.array_min(F.array_intersect("x_a", "x_b")) == ends[0]["key"])
-            on = (ends[0]["key"] == ends[1]["key"]) & (F.col("comp_a") < F.col("comp_b")) & near & alike("a", "b", bits, pct) & once
+            on = (ends[0]["key"] == ends[1]["key"]) & (F.col("comp_a") < F.col("comp_b")) & near & alike("a", "b", bands, pct) & once
             pairs = ends[0].join(ends[1], on).select(F.col("c_a").alias("a"), F.col("c_b").alias("b"))
         found = verified(ws.keep(pairs, f"cand{r}"), docs, reps, ws, f"round{r}", size)
         both, either = F.col("both"), F.col("na") + F.col("nb") - F.col("both")
