@@ -14,6 +14,8 @@ TRANSFORMS = {"log1p": F.log1p, "sqrt": F.sqrt}
 R_LIMIT = 1e9
 #: The largest finite half-precision number, to which the dispersion is clipped for storage.
 HALF_LIMIT = 65504.0
+#: Genes of a chunk of a dense matrix.
+CHUNK = 64
 
 
 def from_coo(df: DataFrame, cell: str, gene: str, value: Column, by_cell: bool = False) -> DataFrame:
@@ -26,10 +28,28 @@ def from_coo(df: DataFrame, cell: str, gene: str, value: Column, by_cell: bool =
     return df.groupBy(F.col(cell).alias("cell_id"), F.col(gene).alias("gene_id")).agg(F.sum(value).alias("value"))
 
 
-def from_dense(df: DataFrame, cell: str, vector: str, sparsify: bool = True) -> DataFrame:
-    """A layer of the vectors' elements, gene ids by position; ``sparsify`` drops the zeros."""
-    out = df.select(F.col(cell).alias("cell_id"), F.posexplode(vector).alias("gene_id", "value"))
-    return out.where("value <> 0") if sparsify else out
+def from_dense(df: DataFrame, cell: str, vector: str, sparsify: bool = True, first: str | None = None) -> DataFrame:
+    """A layer of the vectors' elements, gene ids by position, counted from the column ``first`` on where given; ``sparsify`` drops the zeros."""
+    # The outer form: for the other a filter on the vector's size is put first, which would make the vector twice.
+    start = F.col(first) if first else F.lit(0)
+    out = df.select(F.col(cell).alias("cell_id"), start.alias("_first"), F.posexplode_outer(vector).alias("_at", "value")).where("_at is not null")
+    out = out.where("value <> 0") if sparsify else out
+    return out.select("cell_id", (F.col("_first") + F.col("_at")).alias("gene_id"), "value")
+
+
+def to_dense(layer: DataFrame, size: int) -> DataFrame:
+    """(cell_id, first, vec): the dense matrix of gene ids 0 to ``size - 1`` in chunks of CHUNK of a cell's genes.
+
+    A chunk without an entry is all zeros and is not stored. Coordinates are unique; only entries are exchanged.
+    """
+    kind = dict(layer.dtypes)["value"]
+    at, width = F.col("gene_id") % CHUNK, F.least(F.lit(CHUNK), F.lit(size) - F.col("first")).cast("int")
+    own = layer.where(F.col("gene_id").between(0, size - 1)).groupBy("cell_id", (F.col("gene_id") - at).alias("first"))
+    e = own.agg(F.array_sort(F.collect_list(F.struct(at.cast("int").alias("at"), "value"))).alias("e")).withColumn("n", width)
+    zeros = lambda n: F.array_repeat(F.lit(0).cast(kind), n)
+    before = lambda i: F.coalesce(F.get("e", i - 1)["at"], F.lit(-1))
+    runs = F.transform("e", lambda x, i: F.concat(zeros(x["at"] - before(i) - 1), F.array(x["value"])))
+    return e.select("cell_id", "first", F.flatten(F.concat(runs, F.array(zeros(F.col("n") - 1 - before(F.size("e")))))).alias("vec"))
 
 
 def default_names(df: DataFrame, key: str, kind: str) -> DataFrame:
