@@ -155,15 +155,16 @@ def cells_per_type(obs: DataFrame) -> DataFrame:
 def partial_sums(layer: DataFrame, obs: DataFrame) -> DataFrame:
     """s1, s2, stored (ne) and positive (e) entries of every gene and cell type that has any; sums of parts add up."""
     v = F.col("value").cast("double")
-    per = layer.join(obs.select("cell_id", "cell_type"), "cell_id").groupBy("gene_id", "cell_type")
+    # By key: sorted files are so small beside their rows that a size read from them would broadcast all cells.
+    per = layer.join(obs.select("cell_id", "cell_type").hint("merge"), "cell_id").groupBy("gene_id", "cell_type")
     return per.agg(F.sum(v).alias("s1"), F.sum(v * v).alias("s2"), F.count(F.lit(1)).alias("ne"), F.count_if((v > 0) & ~F.isnan(v)).alias("e"))
 
 
 def on_grid(per: DataFrame, obs: DataFrame, var: DataFrame) -> DataFrame:
     """The sums of ``per`` and n, the cells of the type, for every gene and cell type, absent pairs included."""
     types = obs.where("cell_type is not null").groupBy("cell_type").agg(F.count(F.lit(1)).alias("n"))
-    grid = var.select("gene_id").crossJoin(types)  # the grid itself is the result
-    return grid.join(per, ["gene_id", "cell_type"], "left").fillna(0, ["s1", "s2", "ne", "e"])
+    grid = var.select("gene_id").crossJoin(F.broadcast(types))  # the grid itself is the result; a row for each type goes to all
+    return grid.join(per.hint("merge"), ["gene_id", "cell_type"], "left").fillna(0, ["s1", "s2", "ne", "e"])
 
 
 def celltype_stats(layer: DataFrame, obs: DataFrame, var: DataFrame) -> DataFrame:

@@ -307,3 +307,24 @@ def test_no_dense_grid(spark):
     """Suppliers times parts is never joined: at 60 times sf0.1 that grid has 72 billion rows."""
     plan = catalogue.dense_sparsify(spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
     assert "Cartesian" not in plan and "NestedLoop" not in plan and "Cross" not in plan
+
+
+def test_accuracy_joins_by_key(spark, tmp_path):
+    """Stored statistics compress to small files; their join is dealt by key all the same."""
+    rows = [(g, t, 0.5 / (g + 1), float(g), g + 1.0, 0.5 * g) for g in range(20) for t in ("a", "b")]
+    df = spark.createDataFrame(rows, "gene_id long, cell_type string, obs_zero_frac double, mean_expr double, mean_expr_nz double, frac_expressing double")
+    df.write.parquet(f"{tmp_path}/s")
+    out = Q.accuracy(spark.read.parquet(f"{tmp_path}/s"), df)
+    assert "BroadcastHashJoin" not in out._jdf.queryExecution().executedPlan().toString()
+    assert {r["statistic"]: (r["mse"], r["max_abs_err"]) for r in out.collect()} == dict.fromkeys(("obs_zero_frac", "mean_expr", "mean_expr_nz", "frac_expressing"), (0.0, 0.0))
+
+
+def test_stats_joins_by_key(spark):
+    """However small the files look, only the types are broadcast: a join of all cells or genes on the driver takes its memory at 60 times sf0.1."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1g")
+    try:
+        plan = catalogue.stats_accuracy(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "BroadcastHashJoin" not in plan and plan.count("BroadcastExchange") == 1
