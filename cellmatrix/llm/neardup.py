@@ -6,16 +6,20 @@ hashes (bands of WIDTH minhashes). At similarity s a pair misses every table wit
 about 2 * (1 - s^WIDTH)^bands (3e-6 at 0.85, 9e-5 at 0.8). A band value that no other
 component has is dropped before the combinations are made.
 
-Texts with equal sets are one class. Candidates come from the tables in rounds: in the
-first two rounds each member of a bucket is held against one leader of it, as long as the bucket
-has several components: in a few tables the same leader wherever it stands, in all tables
-another in each bucket. In the last round every pair across components that shares a band
-of both collections is held once, but for pairs too far apart: the distance of two sets is
-at least the difference of their distances to a leader that both were held against. So a
-pair that shares a bucket is in one component already, or is proven unlike, or has been a
-candidate. Candidates whose sizes cannot reach the similarity, or whose sketches (BITS bits
-of each minhash) differ in more bits than a similar pair does with chance LOST, are dropped;
-the others are confirmed on full shingle sets.
+Texts with equal sets are one class. Candidates come in rounds. In the first two each member
+of a bucket of the diagonal tables (i, i) is held against one leader of it, as long as the
+bucket has several components: in a few tables the same leader wherever it stands, then in
+all of them another in each bucket. These rounds only join what is easily joined. The last
+takes the classes whose bands meet another component in both collections and holds every
+pair across components that can reach the similarity by its shingles. Sets are ordered by
+what no other component has, then by rarity, and a pair whose first common shingle stands
+too late in both to leave enough in common is proven unlike (prefix filter with positions).
+So is one whose sets differ too much: what only one component has differs, and of the rest
+at least as many shingles as there are odd bins in one set and not in the other. Neither
+loses a similar pair, and members of a group that are far from each other make no rows.
+Candidates whose sizes cannot reach the
+similarity, or whose sketches (BITS bits of each minhash) differ in more bits than a similar
+pair does with chance LOST, are dropped; the others are confirmed on full shingle sets.
 
 Defined results: null, empty or wordless texts have empty sets and are linked with
 nothing; repeated rows each get a row, and the texts of one doc_id are linked with each
@@ -40,6 +44,8 @@ ship(__name__)
 SHINGLE, PCT, BANDS, WIDTH, SEED, LOST, BITS = 3, 85, 14, 3, 23, 1e-6, 4
 #: Tables of the first round (of the diagonal).
 QUICK = 3
+#: Bins of the shingles that several components have, a multiple of 64 by a power of two.
+BINS = 256
 
 
 def shingle_sets(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
@@ -146,21 +152,56 @@ def components(edges: DataFrame, ws: Workspace, name: str) -> DataFrame:
     return known if known is not None else edges.select(F.col("a").alias("node"), F.col("a").alias("comp")).limit(0)
 
 
-def verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, ws: Workspace, name: str, size: int) -> DataFrame:
-    """The distinct pairs (a, b) of classes with both, na, nb: the shingles of their full sets that are common, a's and b's."""
-    need = ws.keep(pairs.select(F.col("a").alias("c")).union(pairs.select(F.col("b").alias("c"))).distinct(), f"{name}_w")
+def full_sets(classes: DataFrame, docs: DataFrame, reps: DataFrame, ws: Workspace, name: str, size: int) -> DataFrame:
+    """(c, s) of the distinct ``classes`` (c): their full sets."""
+    need = ws.keep(classes, f"{name}_w")
     n = need.count()
     need = ws.keep(reps.join(maybe(need, n), "c").select("c", F.col("rep").alias("doc_id"), "h1"), f"{name}_n")
     # Texts are looked up by id, and by the hash of their set where an id has several.
     text = docs.join(maybe(need.select("doc_id"), n), "doc_id", "left_semi")
     made = shingle_sets(text, size).withColumn("h1", F.xxhash64("s", F.lit(1)))
     sets = ws.keep(made.dropDuplicates(["doc_id", "h1"]).join(maybe(need, n), ["doc_id", "h1"]).select("c", "s"), f"{name}_s")
+    ws.drop(f"{name}_w", f"{name}_n")
+    return sets
+
+
+def crossing(sets: DataFrame, marks: DataFrame, ws: Workspace, bands: int, pct: int) -> DataFrame:
+    """The distinct pairs (a, b) of classes of different components that their shingles and ``marks`` (c and sketches) allow to be similar.
+
+    ``sets`` has c, comp and s. Of a shingle's classes, those of its most frequent component are not held against each other.
+    """
+    n = F.size("s").cast("long")
+    token = sets.select("c", "comp", F.explode("s").alias("g"))
+    met = token.groupBy("g").agg(F.count("*").alias("f"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
+    met = ws.keep(met.select("g", "f"), "met")
+    odd = [F.expr(f"bit_xor(if(((g >> 6) & {BINS // 64 - 1}) = {k}, shiftleft(1L, cast(g & 63 as int)), 0L))").alias(f"o{k}") for k in range(BINS // 64)]
+    order = token.select("c", "g").join(met, "g").groupBy("c").agg(F.array_sort(F.collect_list(F.struct("f", "g"))).alias("m"), *odd)
+    bins = [f"o{k}" for k in range(BINS // 64)]
+    order = sets.select("c", "comp", n.alias("n")).join(order, "c").withColumn("own", F.col("n") - F.size("m"))
+    # A first common shingle beyond this many leaves less in common than any partner needs.
+    most = (F.floor((100 - pct) * F.col("n") / 100) + 1 - F.col("own")).cast("int")
+    key = order.where(most > 0).select("c", "comp", "n", "own", *bins, F.posexplode(F.slice("m", 1, most)).alias("i", "x"))
+    key = ws.keep(key.select("c", "comp", "n", "own", *bins, (F.col("n") - F.col("own") - F.col("i")).alias("left"), F.col("x.g").alias("g")), "key")
+    big = key.groupBy("g").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.mode("comp").alias("big")).where("lo < hi")
+    row = ws.keep(key.join(big.select("g", "big"), "g").join(marks, "c"), "row")
+    a, b = (row.select("g", *[F.col(x).alias(f"{x}_{k}") for x in row.columns if x != "g"]) for k in "ab")
+    once = (F.col("comp_b") == F.col("big_b")) | (F.col("c_a") < F.col("c_b"))
+    # What both have from this shingle on bounds what is common, where it is the first.
+    total = F.col("n_a") + F.col("n_b")
+    enough = F.least("left_a", "left_b") * (100 + pct) >= pct * total
+    differ = sum((F.bit_count(F.col(f"{x}_a").bitwiseXOR(F.col(f"{x}_b"))) for x in bins), F.col("own_a") + F.col("own_b"))
+    close = differ * (100 + pct) <= (100 - pct) * total
+    on = (a["g"] == b["g"]) & (F.col("comp_a") != F.col("comp_b")) & once & enough & close & alike("_a", "_b", bands, pct)
+    pairs = a.where("comp_a <> big_a").join(b, on).select(F.least("c_a", "c_b").alias("a"), F.greatest("c_a", "c_b").alias("b"))
+    return pairs.distinct()
+
+
+def verified(pairs: DataFrame, sets: DataFrame, ws: Workspace, name: str) -> DataFrame:
+    """The distinct pairs (a, b) of classes with both, na, nb: the shingles of their full ``sets`` (c, s) that are common, a's and b's."""
     sa, sb = sets.select(F.col("c").alias("a"), F.col("s").alias("sa")), sets.select(F.col("c").alias("b"), F.col("s").alias("sb"))
     both = F.size(F.array_intersect("sa", "sb"))
     good = pairs.join(sb, "b").join(sa, "a").select("a", "b", both.alias("both"), F.size("sa").alias("na"), F.size("sb").alias("nb"))
-    out = ws.keep(good, f"{name}_v")
-    ws.drop(f"{name}_w", f"{name}_n", f"{name}_s")
-    return out
+    return ws.keep(good, f"{name}_v")
 
 
 def near_duplicates(docs: DataFrame, pct: int = PCT, size: int = SHINGLE, bands: int = BANDS) -> DataFrame:
@@ -193,9 +234,8 @@ def near_duplicates(docs: DataFrame, pct: int = PCT, size: int = SHINGLE, bands:
         half = live.groupBy("c", "comp").agg(F.collect_list(F.when(F.col("i") < bands, F.struct("i", band.alias("v")))).alias("x"), F.collect_list(F.when(F.col("i") >= bands, F.struct("i", band.alias("v")))).alias("y"))
         half = ws.keep(half.where("size(x) > 0 and size(y) > 0"), f"half{r}")
         if r < 2:
-            table = half.select("c", "comp", F.explode("x").alias("x"), "y").select("c", "comp", "x", F.explode("y").alias("y"))
-            if r == 0:
-                table = table.where((F.col("y.i") == F.col("x.i") + bands) & (F.col("x.i") < QUICK))
+            table = half.select("c", "comp", F.explode("x").alias("x"), "y").where(F.col("x.i") < (QUICK if r == 0 else bands))
+            table = table.select("c", "comp", "x", F.explode(F.filter("y", lambda y: y["i"] == F.col("x.i") + bands)).alias("y"))
             table = table.select("c", "comp", F.xxhash64("x.v", "y.v").alias("key"))
             # The order of the classes that makes the first the leader is one for all buckets, then each bucket's own.
             turn = F.lit(0).cast("long") if r == 0 else F.col("key")
@@ -205,25 +245,17 @@ def near_duplicates(docs: DataFrame, pct: int = PCT, size: int = SHINGLE, bands:
             to = [maybe(comp.select(F.col("node").alias(k), F.col("comp").alias(f"_{k}")), n_comp) for k in "ab"]
             pairs = ws.keep(pairs, f"pairs{r}").join(to[0], "a", "left").join(to[1], "b", "left").where(F.coalesce("_a", "a") != F.coalesce("_b", "b"))
             pairs = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").where(alike("a", "b", bands, pct)).select("a", "b")
+            pairs = ws.keep(pairs, f"cand{r}")
+            sets = full_sets(pairs.select(F.col("a").alias("c")).union(pairs.select(F.col("b").alias("c"))).distinct(), docs, reps, ws, f"round{r}", size)
         else:
-            rows = half.select("c", "comp", F.col("x.v").alias("x"), F.col("y.v").alias("y")).join(side("c"), "c").join(maybe(pivots, n_pivots), "c", "left")
-            rows = ws.keep(rows.select("*", F.explode("x").alias("key")), "rows")
-            ends = [rows.select("key", *[F.col(x).alias(x[:-1] + k if x[:-1] in marks else f"{x}_{k}") for x in rows.columns if x != "key"]) for k in "ab"]
-            same = F.col("pivot_a").eqNullSafe(F.col("pivot_b")) & F.col("pivot_a").isNotNull()
-            near = ~same | (F.abs(F.col("far_a") - F.col("far_b")) <= 1 - pct / 100 + 1e-9)
-            once = F.arrays_overlap("y_a", "y_b") & (F.array_min(F.array_intersect("x_a", "x_b")) == ends[0]["key"])
-            on = (ends[0]["key"] == ends[1]["key"]) & (F.col("comp_a") < F.col("comp_b")) & near & alike("a", "b", bands, pct) & once
-            pairs = ends[0].join(ends[1], on).select(F.col("c_a").alias("a"), F.col("c_b").alias("b"))
-        found = verified(ws.keep(pairs, f"cand{r}"), docs, reps, ws, f"round{r}", size)
+            sets = full_sets(half.select("c"), docs, reps, ws, "last", size)
+            sets = ws.keep(sets.join(maybe(half.select("c", "comp"), half.count()), "c"), "sets")
+            ws.drop("last_s")
+            pairs = ws.keep(crossing(sets, reps.select("c", *marks[1:]), ws, bands, pct), f"cand{r}")
+        found = verified(pairs, sets.select("c", "s"), ws, f"round{r}")
         both, either = F.col("both"), F.col("na") + F.col("nb") - F.col("both")
-        if r == 0:
-            # Each class's distance to the first leader it was held against.
-            held = found.select(F.col("a").alias("c"), F.struct(F.col("b").alias("pivot"), (1 - both / either).alias("far")).alias("p"))
-            held = held.union(found.select(F.col("b").alias("c"), F.struct(F.col("b").alias("pivot"), F.lit(0.0).alias("far"))))
-            pivots = ws.keep(held.groupBy("c").agg(F.min("p").alias("p")).select("c", "p.pivot", "p.far"), "pivots")
-            n_pivots = pivots.count()
         links = ws.keep(links.union(found.where(100 * both >= pct * either).select("a", "b")), f"links{r}")
-        ws.drop(f"half{r}", f"open{r}", f"pairs{r}", f"cand{r}", "rows")
+        ws.drop(f"half{r}", f"open{r}", f"pairs{r}", f"cand{r}", f"round{r}_s", "sets", "met", "key", "row")
     comp = components(links, ws, "comp_last")
     classes = reps.join(comp.withColumnRenamed("node", "c"), "c", "left").select("h1", "h2", "n", "rep", F.coalesce("comp", "c").alias("comp"))
     classes = ws.keep(classes, "classes")

@@ -81,3 +81,36 @@ def test_groups_by_brute_force(spark):
         assert sorted(repr((r["doc_id"], r["n_shingles"], r["component_id"])) for r in got) == want
         assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in got)
     assert neardup.near_duplicates(df.limit(0)).count() == 0
+
+
+def test_far_members_of_a_group_make_few_candidates(spark, monkeypatch):
+    """Texts with four or five edits each of one text that is not there: nearly all pairs share buckets, few are similar."""
+    import random
+
+    rng = random.Random(3)
+    rows = []
+    for k in range(240):
+        w = [f"b{i}" for i in range(150)]
+        for i in rng.sample(range(150), 4 + k % 2):
+            w[i] = f"e{k}_{i}"
+        rows.append((k, " ".join(w)))
+    rows += [(1000, rows[7][1] + " x y"), (1001, rows[7][1] + " x z"), (1002, "q " + rows[100][1])]
+    made, keep = {}, Workspace.keep
+
+    def counted(self, df, name, codec="zstd"):
+        out = keep(self, df, name, codec)
+        if name.startswith("cand"):
+            made[name] = out.count()
+        return out
+
+    monkeypatch.setattr(Workspace, "keep", counted)
+    got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    sets = {i: {tuple(t.split()[j : j + 3]) for j in range(len(t.split()) - 2)} for i, t in rows}
+    want = {i: i for i in sets}
+    for i in sorted(sets):
+        for j in sorted(sets):
+            if j < i and 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j]):
+                lo, hi = sorted((want[i], want[j]))
+                want = {k: lo if v == hi else v for k, v in want.items()}
+    assert got == want
+    assert made["cand2"] < 2 * len(rows) and sum(made.values()) < 20 * len(rows)
